@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is not installed (on a cluster: install it or pass --py-files)."""
+    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), top)))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm._common import ship
+
 #: query -> module of this subpackage that has it.
 MODULES = {
+    "op1_simhash_near_dedup": "simhash",
     "op3_media_columns": "media",
     "op6_token_store": "token_store",
     "op7_packing": "packing",
@@ -17,7 +21,16 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in MODULES.items()}
+    return {name: _shipped(getattr(import_module(f"tessera.llm.{module}"), name)) for name, module in MODULES.items()}
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
