@@ -16,6 +16,7 @@ MODULES = {
     "op3_media_columns": "media",
     "op6_token_store": "token_store",
     "op7_packing": "packing",
+    "op8_substring_dedup": "substring_dedup",
     "op10_token_counts": "token_counts",
 }
 
