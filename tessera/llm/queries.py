@@ -14,6 +14,7 @@ from tessera.llm._common import ship
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op3_media_columns": "media",
+    "op4_multiset_fingerprints": "multiset_hash",
     "op6_token_store": "token_store",
     "op7_packing": "packing",
     "op8_substring_dedup": "substring_dedup",
