@@ -15,6 +15,7 @@ MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op3_media_columns": "media",
     "op4_multiset_fingerprints": "multiset_hash",
+    "op5_source_mixing": "mixing",
     "op6_token_store": "token_store",
     "op7_packing": "packing",
     "op8_substring_dedup": "substring_dedup",
