@@ -19,6 +19,7 @@ MODULES = {
     "op6_token_store": "token_store",
     "op7_packing": "packing",
     "op8_substring_dedup": "substring_dedup",
+    "op9_toxicity": "toxicity",
     "op10_token_counts": "token_counts",
 }
 
