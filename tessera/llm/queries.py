@@ -13,6 +13,7 @@ from tessera.llm._common import ship
 #: query -> module of this subpackage that has it.
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
+    "op2_quality": "quality",
     "op3_media_columns": "media",
     "op4_multiset_fingerprints": "multiset_hash",
     "op5_source_mixing": "mixing",
