@@ -68,24 +68,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _taken(docs: DataFrame, *keep: str) -> DataFrame:
-    """``docs`` (doc_id, text, source): adds size, source_size, target, taken, whole_epochs; the text only where ``keep`` names it."""
-    sized = docs.select("doc_id", "source", *keep, size_of(F.col("text")).alias("size"), F.col("text").alias("_text"))
+    """From ``docs`` (doc_id, text, source and what ``keep`` names): doc_id, source, ``keep``, size, source_size, target, taken."""
+    sized = docs.select("doc_id", "source", *keep, F.col("text").alias("_text"), size_of(F.col("text")).alias("size"))
     keyed = sized.select("doc_id", "source", *keep, "size", (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("_text"), F.col("size"))).alias("draw"))
-    if not keep:
-        keyed = C.stored(keyed, "mix-keys")
-    total = keyed.agg(F.count(F.lit(1))).first()[0]
-    slices = max(1, -(-total // SLICE))
+    drawn = C.stored(keyed.select("doc_id", "source", "size", "draw"), "mix-draws")
+    slices = max(1, -(-drawn.count() // SLICE))
     # exp(-draw) lies in (0, 1) and falls with the draw, so slices follow the order of the draws
-    keyed = keyed.withColumn("slice", F.floor((1 - F.exp(-F.col("draw"))) * slices).cast("long"))
-    per_slice = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    slice_of = F.floor((1 - F.exp(-F.col("draw"))) * slices).cast("long")
+    per_slice = drawn.groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("slice_size"))
     goals = targets(per_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")))
     in_order = Window.partitionBy("source").orderBy("slice")
     per_slice = per_slice.withColumn("before_slice", F.sum("slice_size").over(in_order) - F.col("slice_size"))
     joined = per_slice.join(goals, per_slice["source"].eqNullSafe(goals["source"])).select(per_slice["source"].alias("s_source"), F.col("slice").alias("s_slice"), "before_slice", "source_size", "target")
-    rows = keyed.join(joined, (F.col("slice") == F.col("s_slice")) & F.col("source").eqNullSafe(F.col("s_source")))
+    rows = (keyed if keep else drawn).withColumn("slice", slice_of).join(joined, (F.col("slice") == F.col("s_slice")) & F.col("source").eqNullSafe(F.col("s_source")))
     within = Window.partitionBy("s_source", "s_slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = (F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
+    rest = F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")
     before = F.col("before_slice") + F.sum("size").over(within) - F.col("size")
     return (
         rows.withColumn("epochs", epochs)
@@ -94,6 +92,17 @@ def _taken(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of ``documents``: each document as often as its whole size was taken, and once
+    more cut to the words that are left over, if any (words joined by single spaces there). Documents without words are not in it."""
+    taken = _taken(docs, *[c for c in docs.columns if c not in ("doc_id", "source")]).where("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({C.WORD})"), F.lit(1)), 1, F.greatest(F.col("_words"), F.lit(0))), " "))
+    dealt = taken.select("*", F.explode(copies).alias("_words")).withColumn("text", text)
+    return dealt.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(C.table(spark, sf_dir, "documents"))
 

@@ -208,6 +208,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_bits, "bits").select("doc_id", "bits", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that have the least id of their component. Rows of one id are one document: one of them
+    stays. Rows without an id can't be told apart by it and stay."""
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
+    kept = docs.join(least, F.col(id_col) == F.col("_least"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(C.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

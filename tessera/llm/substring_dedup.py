@@ -129,8 +129,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, same, spans array<struct<first int, last int>>: the word ranges (last excluded) that repeated windows cover, joined and
-    in order, for each row of ``_keyed`` that has any."""
+    """key, same, runs array<struct<first, n, places>>: for each row of ``_keyed`` that has any, its paths with repeated windows: first
+    window, number of windows, and which of them (bits; -1: all)."""
     keyed = _keyed(docs, id_col, text_col)
     every = _path_rows(keyed.select("key", "same", "text"))
     # 2. anchors met twice or more; the count combines before its shuffle
@@ -209,6 +209,33 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return C.arrow_map(joined, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string", rows=256)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all rows and columns, with the covered words gone from the texts that have any (their other words joined by single
+    spaces); ``n_chars``, where there is such a column, is that of the new text."""
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.hash(F.col(text_col)).alias("same")]
+    spans = repeated_spans(docs, id_col, text_col).select("key", "same", F.col("runs").alias("_runs"))
+    joined = docs.select("*", *key).join(spans, ["key", "same"], "left").select(*docs.columns, "_runs")
+    at = docs.columns.index(text_col)
+    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = b.columns[:-1]
+            new, sizes = [], []
+            for text, runs in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if runs:
+                    words = text.encode().split()
+                    text = b" ".join(w for w, g in zip(words, covered(len(words), runs).tolist()) if not g).decode()
+                new.append(text)
+                sizes.append(len(text) if runs else None)
+            cols[at] = pa.array(new, cols[at].type)
+            if n_chars is not None:
+                cols[n_chars] = pa.array([old if s is None else s for s, old in zip(sizes, cols[n_chars].to_pylist())], cols[n_chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     d = deduplicate(C.table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
