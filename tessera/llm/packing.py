@@ -25,7 +25,7 @@ from tessera.llm import _tokens as K
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-POOL = 2048
+POOL = 1024
 #: A gap of fewer tokens stays padding instead of cutting a piece for it.
 LEAST_CUT = 12
 
@@ -55,36 +55,39 @@ class Piece:
 
 def fill(pool: list[Piece], limits: Limits, keep: int, cuttable: bool = True) -> Iterator[list[Piece]]:
     """Sequences, as lists of pieces, until no more than ``keep`` pieces are left in ``pool`` (which is emptied that far)."""
-    whole = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
     pieces = list(pool)
     pool.clear()
-    need = np.array([[p.length, 1, p.loss_tokens] for p in pieces], float).reshape(-1, 3)
-    free = np.ones(len(pieces), bool)
-    left_over = len(pieces)
-    while left_over > keep:
-        room, chosen = whole.copy(), []
-        while True:
-            fits = free & (need <= room).all(axis=1)
-            if not fits.any():
+    # the demands, one array per dimension (segments: always 1); a piece that is placed demands more than there is
+    length = np.array([p.length for p in pieces], np.float64)
+    loss = np.array([p.loss_tokens for p in pieces], np.float64)
+    n_free, gone = len(pieces), float("inf")
+    if n_free and (length.max() > limits.tokens or loss.max() > limits.loss_tokens):
+        raise ValueError("a piece is larger than a sequence")
+    while n_free > keep:
+        tokens, segments, losses, chosen = limits.tokens, limits.segments, limits.loss_tokens, []
+        while segments and n_free:
+            fits = np.flatnonzero((length <= tokens) & (loss <= losses))
+            if not len(fits):
                 break
-            score = np.where(fits, (need / whole) @ (room / whole), -1.0)
-            i = int(score.argmax())
+            # demand . room, both as shares of the capacity; the segments' share is the same for every piece
+            score = length[fits] * (tokens / limits.tokens**2) + loss[fits] * (losses / limits.loss_tokens**2)
+            i = int(fits[score.argmax()])
             chosen.append(pieces[i])
-            free[i] = False
-            room -= need[i]
-        gap = int(min(room[0], room[2] + 1))
-        if cuttable and gap >= LEAST_CUT and room[1] >= 1 and free.any():
-            i = int(np.where(free, need[:, 0], -1).argmax())
+            tokens, segments, losses = tokens - int(length[i]), segments - 1, losses - int(loss[i])
+            length[i], n_free = gone, n_free - 1
+        gap = min(tokens, losses + 1)
+        if cuttable and gap >= LEAST_CUT and segments and n_free:
+            i = int(np.where(length < gone, length, -1).argmax())
             if pieces[i].length > gap:
                 head, tail = pieces[i].cut(gap)
-                if head.loss_tokens <= room[2]:
+                if head.loss_tokens <= losses:
                     chosen.append(head)
-                    pieces[i], need[i] = tail, (tail.length, 1, tail.loss_tokens)
-        if not chosen:
-            raise ValueError("a piece is larger than a sequence")
-        left_over = int(free.sum())
+                    pieces[i], length[i], loss[i] = tail, tail.length, tail.loss_tokens
         yield chosen
-    pool.extend(p for p, f in zip(pieces, free) if f)
+        if 2 * n_free < len(pieces):
+            left = np.flatnonzero(length < gone)
+            pieces, length, loss = [pieces[i] for i in left.tolist()], length[left], loss[left]
+    pool.extend(p for p, n in zip(pieces, length.tolist()) if n < gone)
 
 
 def pack_documents(docs: DataFrame, *, limits: Limits = Limits(), end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", pool: int = POOL) -> DataFrame:
