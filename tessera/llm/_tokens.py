@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,15 @@ UNCERTAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e -įı-ɏ]")
 BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 WORD_LEVEL = re.compile(f"[{SPACES}]*(?:'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+)|[{SPACES}]+")
 
+def _byte_spelling() -> dict[int, int]:
+    """Byte-level vocabularies spell printable Latin-1 bytes as themselves and the others as U+0100 and on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SPELLING = _byte_spelling()
+
 #: Pieces in a worker's generation, and the longest piece that is kept.
 KEPT, LONGEST = 250_000, 64
 
@@ -71,11 +81,17 @@ class Encoder:
     def __init__(self, path: str):
         self.tok = load(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self._whole)
+        self.pieces = _Pieces(self._piece)
+        self.tokenize = self.tok.model.tokenize
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """By the library's model alone: a piece needs no cutting any more, only the byte-level spelling of its bytes."""
+        spelt = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SPELLING)
+        return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+
     def certain(self, text: str) -> bool:
         return UNCERTAIN.search(text) is None and not any(t in text for t in self.added)
 
