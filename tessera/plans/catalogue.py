@@ -227,19 +227,19 @@ def agg_count(spark, d):
     return aggregates.count_by(t(spark, d, "orders"), ["o_custkey"], "n")
 
 
-@query("select l_suppkey, round(avg(l_linenumber), 6) as mean from lineitem group by l_suppkey")
+@query("select l_suppkey, avg(l_linenumber) as mean from lineitem group by l_suppkey")
 def agg_mean(spark, d):
-    return aggregates.aggregate(t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "mean", "mean").withColumn("mean", F.round("mean", 6))
+    return aggregates.aggregate(t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "mean", "mean")
 
 
-@query("select l_suppkey, round(var_pop(l_linenumber), 6) as dev from lineitem group by l_suppkey")
+@query("select l_suppkey, floor(var_pop(l_linenumber) * 10000 + 0.5) / 10000 as dev from lineitem group by l_suppkey")
 def agg_std_dev(spark, d):
-    return aggregates.aggregate(t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "std_dev", "dev").withColumn("dev", F.round("dev", 6))
+    return aggregates.aggregate(t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "std_dev", "dev").withColumn("dev", F.floor(F.col("dev") * 10000 + 0.5) / 10000)
 
 
-@query("select l_suppkey, round(stddev_pop(l_linenumber), 6) as dev from lineitem group by l_suppkey")
+@query("select l_suppkey, floor(stddev_pop(l_linenumber) * 10000 + 0.5) / 10000 as dev from lineitem group by l_suppkey")
 def agg_stddev_pop(spark, d):
-    return aggregates.aggregate(t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "stddev_pop", "dev").withColumn("dev", F.round("dev", 6))
+    return aggregates.aggregate(t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "stddev_pop", "dev").withColumn("dev", F.floor(F.col("dev") * 10000 + 0.5) / 10000)
 
 
 @query("select l_suppkey, cast(trunc(sum(l_partkey) / sum(l_linenumber)) as bigint) as mean from lineitem group by l_suppkey")

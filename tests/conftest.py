@@ -1,0 +1,44 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    s = (
+        SparkSession.builder.master("local[4]").appName("tests")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.driver.memory", "6g").getOrCreate()
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    yield s
+    s.stop()
+
+
+@pytest.fixture(scope="session")
+def data():
+    return DATA
+
+
+@pytest.fixture(scope="session")
+def duck(data):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{data}/{f}'")
+    return con
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((v is None, str(type(v)), v) for v in r))

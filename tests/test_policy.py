@@ -1,0 +1,113 @@
+import pytest
+
+from tessera import policy as P
+from tessera.explain import describe, dot, physical
+from tessera.plans import workloads as W
+from tessera.relation import Relation, blackbox, concat, concat_cols
+from tessera.schema import UnknownColumn, col_spec, common_trust
+
+
+def node(name, owners, **trust):
+    return P.create(name, [col_spec(c, "INTEGER", t) for c, t in trust.items()], owners)
+
+
+def seen(n):
+    return {c.name: set(c.trust) for c in n.columns}
+
+
+def test_column_specs():
+    assert col_spec("a", "INTEGER", 1, [2, 3]).trust == {1, 2, 3}
+    assert common_trust({1, 2}, {2, 3}) == {2} and common_trust() == set()
+    with pytest.raises(ValueError):
+        col_spec("a", "DATE")
+
+
+def test_aggregate():
+    n = node("r", {1}, a={1, 2}, b={1, 2, 3}, c={1, 3})
+    assert seen(P.aggregate(n, "o", ["a", "b"], "c", "t", "sum")) == {"a": {1, 2}, "b": {1, 2}, "t": {1}}
+    assert seen(P.aggregate(n, "o", ["b"], None, "t", "count")) == {"b": {1, 2, 3}, "t": {1, 2, 3}}
+
+
+def test_project_and_filters():
+    n = node("r", {1}, a={1, 2}, b={2, 3}, c={1, 2, 3})
+    assert seen(P.project(n, "o", ["c", "a"])) == {"c": {1, 2, 3}, "a": {1, 2}}
+    assert seen(P.cc_filter(n, "o", "a", "==", "b", None)) == {"a": {2}, "b": {2}, "c": {2}}
+    assert seen(P.cc_filter(n, "o", "a", "==", None, 1)) == {"a": {1, 2}, "b": {2}, "c": {1, 2}}
+    keys = node("k", {2}, k={1, 3})
+    assert seen(P.filter_by(n, keys, "o", "a", False)) == {"a": {1}, "b": set(), "c": {1}}
+
+
+def test_arithmetic():
+    n = node("r", {1}, a={1, 2}, b={2, 3})
+    assert seen(P.arithmetic("multiply", n, "o", "a", ["a", "b", 2])) == {"a": {2}, "b": {2, 3}}
+    assert seen(P.arithmetic("divide", n, "o", "c", ["a", 2])) == {"a": {1, 2}, "b": {2, 3}, "c": {1, 2}}
+
+
+def test_join():
+    left, right = node("l", {1}, a={1}, b={1}), node("r", {2}, c={1, 2}, d={2})
+    assert seen(P.join(left, right, "o", ["a"], ["c"])) == {"a": {1}, "b": {1}, "d": set()}
+    assert P.join(left, right, "o", ["a"], ["c"]).owners == {1, 2}
+
+
+def test_union_intersect_concat():
+    a, b = node("l", {1}, a={1, 2}), node("r", {2}, b={2, 3})
+    assert seen(P.union(a, b, "o", "a", "b")) == {"a": {2}}
+    assert seen(P.pub_intersect(a, "o", "a", b)) == {"a": {1, 2}}
+    assert seen(P.concat([a, b], "o", ["x"])) == {"x": {2}}
+
+
+def test_unknown_column():
+    with pytest.raises(UnknownColumn):
+        node("r", {1}, a={1}).trust("z")
+
+
+def test_placement_chooses_protocols():
+    a, b = node("l", {1}, k={1, 2, 3}, v={1}), node("r", {2}, q={1, 2, 3}, w={2})
+    public = P.placement([P.join(a, b, "j", ["k"], ["q"])], [1, 2, 3])[-1]
+    assert (public.where, public.how) == ("joint", "public") and set(public.crosses) == {"close l", "close r"}
+    c = node("r2", {2}, q={1, 2}, w={2})
+    assert P.placement([P.join(a, c, "j", ["k"], ["q"])], [1, 2, 3])[-1].how == "hybrid, party 1 helps"
+    assert P.placement([P.join(a, c, "j", ["k"], ["q"])], [1, 2, 3], use_hybrid=False)[-1].how == ""
+    agg = P.aggregate(P.concat([node("x", {1}, k={1}, v={1}), node("y", {2}, k={2}, v={2})], "both"), "s", ["k"], "v", "t", "sum")
+    last = P.placement([agg], [1, 2, 3])[-1]
+    assert (last.where, last.how) == ("joint", "partial sums at each party first")
+    local = P.project(agg, "p", ["t"])
+    assert P.placement([local], [1, 2, 3])[-1].where == "each party"
+    assert P.placement([P.same("open", agg, "o", owners={1})], [1, 2, 3])[-1].crosses == ("open s",)
+
+
+def test_stages_follow_owners():
+    a, b = node("x", {1}, k={1}), node("y", {2}, k={2})
+    plan = P.concat([P.project(a, "pa", ["k"]), P.project(b, "pb", ["k"])], "both")
+    got = P.stages(P.placement([plan], [1, 2]))
+    assert got == [("party 1", ["x", "pa"]), ("party 2", ["y", "pb"]), ("joint", ["both"])]
+
+
+def test_relations_carry_rows_and_policy(spark, data):
+    rows = spark.createDataFrame([(i, i % 3, i * 10) for i in range(12)], "i long, k long, v long")
+    parts = W.parties(rows, "i", 3, "in", ["k", "v"])
+    hhi = W.concentration(parts, "k", "v")
+    assert hhi.owners == {1, 2, 3} and hhi.columns == ["k", "hhi"]
+    text = describe(hhi)
+    assert "AGGREGATE" in text and "joint" in text and text.count("CREATE") == 3
+    assert dot(hhi).startswith("digraph") and "->" in dot(hhi)
+    assert "HashAggregate" in physical(hhi)
+    assert hhi.collect_at(1).owners == {1} and hhi.open("o", 2).owners == {2} and hhi.close("c", {1, 2}).owners == {1, 2}
+
+
+def test_relation_methods_agree_with_operators(spark):
+    a = Relation.create(spark.createDataFrame([(0, 1), (1, 2)], "index long, k long"), "a", owners={1})
+    b = Relation.create(spark.createDataFrame([(0, 2), (1, 2)], "index long, q long"), "b", owners={2})
+    flags = a.join_flags(b, "f", "k", "q")
+    assert sum(r.flag for r in flags.df.collect()) == 2
+    assert a.flag_join(b, flags, "fj", "q").df.collect() == [(2,), (2,)]
+    assert a.project("p", ["k"]).join(b.project("p2", ["q"]), "j", ["k"], ["q"]).df.count() == 2
+    assert a.pub_join("pj", "k", b, "q").df.count() == 2 and a.public_join(b.project("x", ["q"]), "h", "k", "q").df.count() == 2
+    assert concat([a, b], "c", ["i", "k"]).num_rows("n").df.first()[0] == 4
+    assert concat_cols([a, b.project("q", ["q"])], "cc", [["index"], ["q"]]).df.count() == 2
+    assert blackbox([a], "bb", ["n"], "select count(*) from in0").df.first()[0] == 2
+    assert a.union(b, "u", "k", "q").distinct("d", ["k"]).distinct_count("dc", "k").df.first()[0] == 2
+    assert a.filter("f", "k", "==", scalar=2).filter_by("fb", "k", b.project("q", ["q"])).sort_by("s", "k").limit("l", 1).df.count() == 1
+    assert a.index("i", "n", ["k"]).comp_neighs("cn", "k").df.count() == 1
+    assert a.shuffle("s", 3).persist("kept").send("x", 2).owners == {2}
+    assert a.aggregate_count("ac", ["k"], "n").multiply("m", "n", ["n", 2]).divide("d", "n", ["n", 2]).df.count() == 2

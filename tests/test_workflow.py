@@ -1,0 +1,110 @@
+import json
+
+import pytest
+from pyspark.errors import PySparkException
+
+from tessera.plans import workloads as W
+from tessera.schema import col_spec
+from tessera.sources import tables
+from tessera.workflow import Config, compile_only, run_workflow
+from tests.conftest import rows
+
+
+def put(path, text):
+    path.write_text(text)
+
+
+@pytest.fixture
+def places(tmp_path):
+    put(tmp_path / "in1.csv", "car_id,location\n1,2\n3,4\n5,6\n1,7\n")
+    put(tmp_path / "in2.csv", "car_id,location\n3,2\n4,7\n1,6\n")
+    put(tmp_path / "in3.csv", "car_id,location\n1,7\n3,8\n2,4\n")
+    return tmp_path
+
+
+def conf(path):
+    return {"user_config": {"pid": 1, "all_pids": [1, 2, 3], "workflow_name": "counts", "leaky_ops": 1, "use_floats": 0, "paths": {"input_path": str(path)}}, "net": {"parties": []}}
+
+
+def protocol(ctx):
+    inputs = [ctx.create(f"in{i}", [col_spec("car_id", "INTEGER", i), col_spec("location", "INTEGER", i)], {i}) for i in (1, 2, 3)]
+    return W.location_counts(inputs).collect_at(1)
+
+
+def test_location_counts_end_to_end(spark, places):
+    done = run_workflow(protocol, conf(places), spark, timings=str(places / "timing.csv"))
+    out = tables.read_csv(spark, done.paths["heatmap"], [col_spec("location"), col_spec("by_location")])
+    assert rows(out) == [(2, 2), (4, 2), (6, 2), (7, 3), (8, 1)]
+    assert (places / "timing.csv").read_text().startswith("counts,")
+    assert "heatmap" in done.report([1, 2, 3])
+
+
+def test_config_from_file(places):
+    put(places / "conf.json", json.dumps(conf(places) | {"backends": {"spark": {"available": 1, "master_url": "local[2]", "conf": {"a": "b"}}}}))
+    c = Config.from_file(str(places / "conf.json"))
+    assert (c.name, c.pid, c.use_leaky_ops, c.master_url, c.spark) == ("counts", 1, True, "local[2]", {"a": "b"})
+    assert c.output_path == f"{places}/out"
+
+
+def test_compile_only_runs_nothing(spark, places):
+    steps = compile_only(protocol, Config.from_dict(conf(places)), spark)
+    assert [s.where for s in steps][:3] == ["party 1", "party 2", "party 3"] and steps[-1].node.name == "heatmap"
+
+
+def test_malformed_lines(spark, tmp_path):
+    put(tmp_path / "x.csv", '"a","b"\n1,2\nx,3\n4,5\n')
+    cols = [col_spec("a"), col_spec("b")]
+    assert rows(tables.read_csv(spark, str(tmp_path / "x.csv"), cols, header=False, malformed="DROPMALFORMED")) == [(1, 2), (4, 5)]
+    with pytest.raises(Exception, match="MALFORMED_RECORD|For input string|FAILED_READ_FILE"):
+        tables.read_csv(spark, str(tmp_path / "x.csv"), cols).collect()
+
+
+def test_sinks(spark, tmp_path):
+    d = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    tables.store(d, str(tmp_path / "p"), "parquet")
+    assert rows(tables.read_parquet(spark, str(tmp_path / "p"))) == [(1, 2), (3, 4)]
+    tables.store(d, str(tmp_path / "c"), delimiter=";")
+    assert rows(tables.read_csv(spark, str(tmp_path / "c"), [col_spec("a"), col_spec("b")], delimiter=";")) == [(1, 2), (3, 4)]
+    tables.write_table(d, "kept_rows", bucket_by="a", buckets=2)
+    assert rows(tables.read_table(spark, "kept_rows")) == [(1, 2), (3, 4)]
+    spark.sql("drop table kept_rows")
+
+
+def test_an_error_ends_the_run(spark, places):
+    def broken(ctx):
+        return ctx.create("missing", [col_spec("a")], {1})
+
+    with pytest.raises(PySparkException):
+        run_workflow(broken, conf(places), spark)
+
+
+def model_hhi(pairs):
+    rev = {}
+    for c, p in pairs:
+        rev[c] = rev.get(c, 0) + p
+    rev = {c: int(v / 1000) for c, v in rev.items()}
+    total = sum(rev.values())
+    return sum(int(v * 100 / total) ** 2 for v in rev.values())
+
+
+def test_concentration_against_a_plain_model(spark):
+    pairs = [(i % 4, 137 * i % 9001) for i in range(400)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, companyID long, price long")
+    assert rows(W.concentration(W.parties(d, "i", 3, "in", ["companyID", "price"])).df) == [(0, model_hhi(pairs))]
+
+
+def test_cohort_split_adds_up(spark):
+    meds = spark.createDataFrame([(i, i % 40, 1 + i % 2, 100 + i) for i in range(200)], "i long, p long, drug long, day long")
+    diags = spark.createDataFrame([(i, i % 50, 1 + i % 3 % 2, 90 + i) for i in range(200)], "i long, q long, code long, since long")
+    m, d = W.parties(meds, "i", 2, "m", ["p", "drug", "day"]), W.parties(diags, "i", 2, "d", ["q", "code", "since"])
+    joint, own = W.shared_cohort(m, d, ("p", "q"), "drug", "day", "code", "since")
+    sides = [({r.p for r in a.df.collect()} | {r.q for r in b.df.collect()}) for a, b in zip(m, d)]
+    shared = sides[0] & sides[1]
+
+    def count(ms, ds):
+        return len({x.p for x in ms for y in ds if x.p == y.q and y.since < x.day and x.drug == 1 and y.code == 1})
+
+    ml, dl = [a.df.collect() for a in m], [b.df.collect() for b in d]
+    assert rows(joint.df) == [(count([x for s in ml for x in s if x.p in shared], [y for s in dl for y in s if y.q in shared]),)]
+    for i in (0, 1):
+        assert rows(own[i].df) == [(count([x for x in ml[i] if x.p not in shared], [y for y in dl[i] if y.q not in shared]),)]
