@@ -52,17 +52,31 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it a name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that no more texts than these are Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[tuple]], schema: str, rows: int = 2048) -> DataFrame:
     """mapInArrow for row producers: ``fn(batch)`` yields tuples in the order of ``schema``; at most ``rows`` are held."""
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches):
             for row in fn(batch):
                 held.append(row)
                 if len(held) >= rows:

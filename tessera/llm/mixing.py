@@ -95,12 +95,14 @@ def _taken(docs: DataFrame, *keep: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``documents``: each document as often as its whole size was taken, and once
     more cut to the words that are left over, if any (words joined by single spaces there). Documents without words are not in it."""
-    taken = _taken(docs, *[c for c in docs.columns if c not in ("doc_id", "source")]).where("taken > 0")
+    taken = _taken(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")), "row").where("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({C.WORD})"), F.lit(1)), 1, F.greatest(F.col("_words"), F.lit(0))), " "))
-    dealt = taken.select("*", F.explode(copies).alias("_words")).withColumn("text", text)
-    return dealt.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    dealt = taken.select("row", F.explode(copies).alias("words"))
+    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({C.WORD})"), F.lit(1)), 1, F.greatest(F.col("words"), F.lit(0))), " ")
+    dealt = dealt.select("row", F.when(F.col("words") < 0, F.col("row.text")).otherwise(first).alias("new_text"))
+    made = {"text": F.col("new_text"), "n_chars": F.length("new_text")}
+    return dealt.select(*[made.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

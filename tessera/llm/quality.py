@@ -70,7 +70,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = C.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.sliced(batches):
             rows = np.array([statistics_of(t) for t in b.column(1).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(STATISTICS)))], schema=out)
 

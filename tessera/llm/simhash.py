@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, bits (signed long); one row for a row. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_of(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "bits"])
 
     return C.texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, bits long")
@@ -211,9 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that have the least id of their component. Rows of one id are one document: one of them
     stays. Rows without an id can't be told apart by it and stay."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
-    kept = docs.join(least, F.col(id_col) == F.col("_least"), "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(named, id_col, text_col)
+    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("least")).distinct()
+    whole = named.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
+    kept = whole.join(least, F.col("id") == F.col("least"), "left_semi").dropDuplicates(["id"]).select("row.*")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 

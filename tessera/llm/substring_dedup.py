@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _common as C
@@ -101,7 +101,7 @@ def _path_rows(docs: DataFrame) -> DataFrame:
     h = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.sliced(batches):
             held, rows = [], 0
             for doc_id, same, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 joined, starts, ends, anchors, first, n = paths(text)
@@ -125,7 +125,11 @@ def _path_rows(docs: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key and same name a row by its id and its text: rows that share both are alike in every result."""
-    return C.texts(docs, id_col, text_col, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.hash(F.col(text_col)).alias("same"))
+    return C.texts(docs, id_col, text_col, *_keys(id_col, text_col))
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.hash(F.col(text_col)).alias("same")]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,14 +216,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with the covered words gone from the texts that have any (their other words joined by single
     spaces); ``n_chars``, where there is such a column, is that of the new text."""
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.hash(F.col(text_col)).alias("same")]
-    spans = repeated_spans(docs, id_col, text_col).select("key", "same", F.col("runs").alias("_runs"))
-    joined = docs.select("*", *key).join(spans, ["key", "same"], "left").select(*docs.columns, "_runs")
+    spans = repeated_spans(docs, id_col, text_col).select("key", "same", "runs")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *_keys(id_col, text_col)).join(spans, ["key", "same"], "left")
+    joined = whole.select("row.*", F.col("runs").alias(C.fresh(docs, "runs")))
     at = docs.columns.index(text_col)
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.sliced(batches):
             cols = b.columns[:-1]
             new, sizes = [], []
             for text, runs in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
