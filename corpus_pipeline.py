@@ -14,7 +14,7 @@ from tessera.llm import _common, mixing, packing, simhash, substring_dedup, toxi
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones outside the held-out fold, calls toxic go."""
     _common.ship(spark)
-    return toxicity.without_toxic(docs, toxicity.train(toxicity.training_rows(docs, _common.table(spark, sf_dir, "labels"))))
+    return toxicity.without_toxic(docs, toxicity.train(*toxicity.training_rows(docs, _common.table(spark, sf_dir, "labels"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

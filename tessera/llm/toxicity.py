@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +25,46 @@ from tessera.llm import _common as C
 
 #: Bounds of the labelled sample: rows of each class, and the longest text (characters) among them.
 MOST_TOXIC, MOST_ORDINARY, LONGEST = 2500, 5000, 10_000
-WINDOW, STEP, LEVEL = 8, 7, 6
-FOLDS = 3
+#: Words in a window, for each of the passes over a text; a pass steps by one word less.
+WINDOWS, LEVEL = (8, 11), 6
+FOLDS = 5
+AT_LEAST = (1, 2, 3, 4, 5, 6, 8)
+#: Words in a window that the common part is trained on.
+SAMPLE = 20
 COMMON_BYTES, LEAST_Z, MOST_SEGMENTS = 2500, 5.5, 200
 #: The head of a word that may be a segment: the space before it and so many bytes in all.
 HEADS = range(5, 12)
+_TWICE = b"\0"
 _EDGES = b".,;:!?#$%&*|()\"'"
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, size: int = WINDOWS[0]) -> list[bytes]:
     """Overlapping by a word; lower-cased; at least one."""
     words = (text or "").lower().encode().split()
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, max(1, len(words) - WINDOW + STEP), STEP)]
+    step = size - 1
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words) - size + step), step)]
 
 
 def _heads(text: str) -> set[bytes]:
-    out = set()
+    """The heads of the text's words; those that two different words or more have, also with _TWICE behind them."""
+    n = Counter()
     for w in {w.strip(_EDGES) for w in text.lower().encode().split()}:
         w = b" " + w + b" "
-        out.update(w[:n] for n in HEADS if n <= len(w))
-    return out
+        n.update(w[:k] for k in HEADS if k <= len(w))
+    return {*n, *(h + _TWICE for h, k in n.items() if k > 1)}
 
 
 def _without_copies(texts: list[str]) -> list[str]:
-    """One of each group of texts that share a min-hash of their longer words."""
+    """One of each group of near copies: texts that agree in three of six min-hashes of their longer words."""
     seen: set[tuple] = set()
     out = []
     for t in texts:
         words = [w for w in set(t.lower().encode().split()) if len(w) >= 6]
-        marks = [(k, min(xxhash.xxh64_intdigest(w, k) for w in words)) for k in range(4)] if words else [(-1, t)]
+        if words:
+            low = [min(xxhash.xxh64_intdigest(w, k) for w in words) for k in range(6)]
+            marks = [(k, *(low[i] for i in k)) for k in combinations(range(6), 3)]
+        else:
+            marks = [t]
         if not any(m in seen for m in marks):
             out.append(t)
         seen.update(marks)
@@ -82,68 +94,94 @@ def _compressor(content: bytes):
 
 
 def _features(text: str | None, ordinary, toxic) -> np.ndarray:
-    """1, and of the windows' length differences: mean, mean of the top three, largest, shares of at least 3 and 5, and what a short text adds."""
-    a, b = ordinary.compress, toxic.compress
-    d = np.array([len(a(w)) - len(b(w)) for w in windows(text)], float)
-    top = np.sort(d)[::-1]
-    short = 1 / len(d) ** 0.5
-    return np.array([1, d.mean(), top[:3].mean(), top[0], (d >= 3).mean(), (d >= 5).mean(), short, short * d.mean(), (d > 0).mean()])
+    """1, and for each window size, of the windows' length differences: mean, mean of the top three, largest, how many reach each of AT_LEAST (as
+    shares and as logarithms of counts), and the number of windows."""
+    a, b, out = ordinary.compress, toxic.compress, [np.ones(1)]
+    for size in WINDOWS:
+        d = np.array([len(a(w)) - len(b(w)) for w in windows(text, size)], float)
+        top, n = np.sort(d)[::-1], len(d)
+        reach = (d >= np.array(AT_LEAST)[:, None]).sum(axis=1)
+        out.append(np.r_[d.mean(), top[:3].mean(), top[0], n**-0.5, d.mean() * n**-0.5, reach / n, np.log1p(reach), np.log(n)])
+    return np.concatenate(out)
 
 
-def _contrast(one: list[str], other: list[str]) -> list[bytes]:
-    """Heads that stand out in ``one``, most telling last (a dictionary's end is its cheapest part); none contains another."""
-    a = Counter(h for t in one for h in _heads(t))
-    a = Counter({h: k for h, k in a.items() if k >= 3})
-    b = Counter(h for t in other for h in _heads(t) if h in a)
-    m, n = max(1, len(one)), max(1, len(other))
+def _contrast(a: Counter, m: int, b: Counter, n: int) -> list[bytes]:
+    """Heads that stand out in the class of m texts whose document counts are ``a``, against n texts with ``b``; most telling last (a dictionary's
+    end is its cheapest part); none contains another."""
 
     def z(h: bytes) -> float:
         p = (a[h] + b[h]) / (m + n)
         return (a[h] / m - b[h] / n) / max(1e-9, (p * (1 - p) * (1 / m + 1 / n)) ** 0.5)
 
-    found = [(z(h), h) for h, k in a.items() if b[h] * m <= 0.3 * k * n]
+    found = [(z(h), h) for h, k in a.items() if k >= 3 and b[h] * m <= 0.3 * k * n]
     kept: list[bytes] = []
     for s, h in sorted(found, key=lambda x: (-round(x[0], 1), -len(x[1]), x[1])):
         if s < LEAST_Z or len(kept) >= MOST_SEGMENTS:
             break
+        h = h.removesuffix(_TWICE)
         if not any(h in k or k in h for k in kept):
             kept.append(h)
     return kept[::-1]
 
 
-def _dictionaries(rows: list[tuple[str, int]]) -> Model | None:
-    toxic = _without_copies([t for t, y in rows if y])
-    ordinary = _without_copies([t for t, y in rows if not y])
-    if not toxic or not ordinary:
-        return None
-    samples = [w for t in ordinary[:1000] + toxic[:300] for w in windows(t)][::3]
-    try:
-        common = zstandard.train_dictionary(COMMON_BYTES + 500, samples, k=32, d=6).as_bytes()[-COMMON_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        common = b"".join(samples)[:COMMON_BYTES]
-    a, b = b"".join(_contrast(toxic, ordinary)), b"".join(_contrast(ordinary[: len(toxic)], toxic))
-    size = max(len(a), len(b))
-    return Model(common + a.rjust(size, b"\0"), common + b.rjust(size, b"\0"))
-
-
-def train(rows: list[tuple[str, int]]) -> Model:
-    """From (text, label) rows. The weights are fitted to features of rows that the dictionaries behind them have not seen, by FOLDS
-    rounds of leaving a part out; the dictionaries that are kept are trained on all rows."""
-    model, x, y = _dictionaries(rows), [], []
-    for k in range(FOLDS):
-        part = _dictionaries([r for i, r in enumerate(rows) if i % FOLDS != k])
-        if model is None or part is None:
-            return Model()
+@dataclass
+class _Counts:
+    """Document counts, fold by fold, of the heads that three texts of a class have at least; the fold of a text is its place modulo FOLDS."""
+
+    one: list[str]
+    other: list[str]
+
+    def __post_init__(self) -> None:
+        self.wanted = {h for h, k in Counter(h for t in self.one for h in _heads(t)).items() if k >= 3}
+        self.a, self.b = self._by_fold(self.one), self._by_fold(self.other)
+
+    def _by_fold(self, texts: list[str]) -> list[Counter]:
+        out = [Counter() for _ in range(FOLDS)]
+        for i, t in enumerate(texts):
+            out[i % FOLDS].update(_heads(t) & self.wanted)
+        return out
+
+    def contrast(self, without: int | None) -> list[bytes]:
+        keep = [f for f in range(FOLDS) if f != without]
+        a, b = (sum((c[f] for f in keep), Counter()) for c in (self.a, self.b))
+        m, n = (sum(len(x[f::FOLDS]) for f in keep) for x in (self.one, self.other))
+        return _contrast(a, m, b, n) if m and n else []
+
+
+def train(rows: list[tuple[str, int]], stands_for: float = 1.0) -> Model:
+    """From (text, label) rows, in which an ordinary row stands for so many. The weights are fitted to features of rows that the
+    dictionaries behind them have not seen, by FOLDS rounds of leaving a part of each class out; the dictionaries that are kept are trained on all."""
+    toxic, ordinary = (_without_copies([t for t, y in rows if bool(y) is label]) for label in (True, False))
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return Model()
+    there, back = _Counts(toxic, ordinary), _Counts(ordinary[: len(toxic)], toxic)
+
+    def dictionaries(without: int | None) -> Model:
+        some = [[t for i, t in enumerate(x) if i % FOLDS != without][:most] for x, most in ((ordinary, 1000), (toxic, 300))]
+        samples = [w for x in some for t in x for w in windows(t, SAMPLE)][::3]
+        try:
+            common = zstandard.train_dictionary(COMMON_BYTES + 500, samples, k=32, d=6).as_bytes()[-COMMON_BYTES:]
+        except zstandard.ZstdError:  # too little text to train on
+            common = b"".join(samples)[:COMMON_BYTES]
+        a, b = b"".join(there.contrast(without)), b"".join(back.contrast(without))
+        size = max(len(a), len(b))
+        return Model(common + a.rjust(size, b"\0"), common + b.rjust(size, b"\0"))
+
+    x, y = [], []
+    for fold in range(FOLDS):
+        part = dictionaries(fold)
         a, b = _compressor(part.ordinary), _compressor(part.toxic)
-        x += [_features(t, a, b) for t, _ in rows[k::FOLDS]]
-        y += [y for _, y in rows[k::FOLDS]]
-    model.weights = _logistic(np.array(x), np.array(y, float)).tolist()
+        for label, texts in ((1, toxic[fold::FOLDS]), (0, ordinary[fold::FOLDS])):
+            x += [_features(t, a, b) for t in texts]
+            y += [label] * len(texts)
+    model = dictionaries(None)
+    model.weights = _logistic(np.array(x), np.array(y, float), stands_for).tolist()
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method on standardised columns, moved so that 0.5 is the cut with the best balance of both error rates
-    weighed by the square root of their classes' sizes."""
+def _logistic(x: np.ndarray, y: np.ndarray, stands_for: float = 1.0, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method on standardised columns, moved so that 0.5 is the cut of least cost: a toxic text that is missed costs the fourth root of how
+    many ordinary ones there are to it, an ordinary one that is taken for toxic costs 1."""
     mean, std = x[:, 1:].mean(0), np.maximum(x[:, 1:].std(0), 1e-9)
     z = np.c_[np.ones(len(x)), (x[:, 1:] - mean) / std]
     w, penalty = np.zeros(z.shape[1]), np.r_[0, np.full(z.shape[1] - 1, ridge)]
@@ -155,8 +193,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
             break
     s = z @ w
     order = np.argsort(s)
-    ys, m, n = y[order], y.sum(), (1 - y).sum()
-    cost = np.r_[0, np.cumsum(ys)] / m * m**0.5 + (n - np.r_[0, np.cumsum(1 - ys)]) / n * n**0.5
+    ys, m, n = y[order], y.sum(), (1 - y).sum() * stands_for
+    cost = np.r_[0, np.cumsum(ys)] * (n / m) ** 0.25 + n - np.r_[0, np.cumsum(1 - ys)] * stands_for
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     k = int(best[len(best) // 2])
     cut = (s[order][max(0, k - 1)] + s[order][min(len(s) - 1, k)]) / 2
@@ -164,19 +202,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.r_[w[0] - (w[1:] * mean / std).sum(), w[1:] / std]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """The bounded sample: labelled rows outside the held-out fold, the least hashes of their ids first in each class.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], float]:
+    """The bounded sample, and how many rows an ordinary one in it stands for: labelled rows outside the held-out fold, the least hashes of their ids first in each class.
 
     Ids are chosen from ``labels`` alone; only they (a proven bound) are broadcast, so the texts are not shuffled.
     """
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (C.crc_mod("doc_id", 5) != 0)).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("toxic <> 1").orderBy(*order).limit(MOST_ORDINARY))
+    toxic, ordinary = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") != 1).cast("long"))).first()
+    rate = max(1.0, min(MOST_TOXIC, toxic or 0)) / max(1.0, toxic or 0)
+    stands_for = max(1.0, (ordinary or 0) / MOST_ORDINARY) * rate
     texts = C.texts(docs, id_col, text_col).where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
     found["h"] = [xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"]]
     found = found.sort_values(["h", "doc_id", "text", "toxic"])
-    return list(zip(found["text"], (found["toxic"] == 1).astype(int)))
+    return list(zip(found["text"], (found["toxic"] == 1).astype(int))), stands_for
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +228,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for b in batches:
+        for b in C.sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     scored = C.texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
@@ -200,7 +241,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for b in batches:
+        for b in C.sliced(batches):
             yield b.filter(pa.array([of(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -208,4 +249,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
-    return score(docs, train(training_rows(docs, C.table(spark, sf_dir, "labels"))))
+    return score(docs, train(*training_rows(docs, C.table(spark, sf_dir, "labels"))))
