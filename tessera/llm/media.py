@@ -2,7 +2,7 @@
 
 Stored form: mono, 8-bit unsigned samples. The samples are the payload's bytes, one for one. From the samples that are
 read back, a short-time Fourier transform (Hann window) gives each frame's strongest local maxima; a peak and the first
-peak of each of the next frames form a pair, kept as one number that holds the time, both bins and the distance.
+peak of its own frame and each of the next ones form a pair, kept as one number that holds the time, both bins and the distance.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from tessera.llm import _common as C
 
 UNIT, RATE = 576, 8000
-FRAME, HOP, PEAKS, REACH = 576, 288, 2, 3
+FRAME, HOP, PEAKS, REACH = 576, 288, 3, 3
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -71,10 +71,10 @@ def peak_pairs(payload: bytes) -> np.ndarray:
     """Time-coded pairs, ascending: frame << 24 | bin << 14 | later bin << 4 | frames between."""
     tops = _peaks(np.frombuffer(payload, np.uint8))
     out = []
-    for gap in range(1, min(REACH, len(tops) - 1) + 1):
+    for gap in range(min(REACH, len(tops) - 1) + 1):
         t = np.arange(len(tops) - gap)
-        for k in range(PEAKS):
-            a, b = tops[:-gap, k], tops[gap:, 0]
+        for k in range(0 if gap else 1, PEAKS):
+            a, b = tops[: len(tops) - gap, k], tops[gap:, 0]
             ok = (a > 0) & (b > 0)
             out.append((t << 24 | a << 14 | b << 4 | gap)[ok])
     return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
