@@ -1,8 +1,9 @@
-"""Running a workflow: a function that gets a context and returns the relations to put out."""
+"""Running a workflow: a function that gets a context, or uses ``tessera.frontend``, and returns or collects the relations to put out."""
 
 from __future__ import annotations
 
 import csv
+import inspect
 import json
 import time
 from collections.abc import Callable, Iterable, Sequence
@@ -11,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera import policy
+from tessera import frontend, policy
 from tessera.relation import Relation
 from tessera.schema import ColumnSpec
 from tessera.sources import tables
@@ -68,6 +69,7 @@ class Context:
 
     spark: SparkSession
     conf: Config
+    outputs: list[Relation] = field(default_factory=list)
 
     def create(self, name: str, columns: Sequence[ColumnSpec], owners: Iterable[int], df: DataFrame | None = None) -> Relation:
         """An input relation: the rows given, or those of ``<input_path>/<name>.csv``."""
@@ -96,8 +98,7 @@ def run_workflow(protocol: Callable[[Context], Relation | Sequence[Relation]], c
     conf = Config.from_dict(conf) if isinstance(conf, dict) else conf
     spark = spark or conf.session()
     began = time.perf_counter()
-    made = protocol(Context(spark, conf))
-    outputs = [made] if isinstance(made, Relation) else list(made)
+    outputs = _build(protocol, conf, spark)
     paths = {}
     for r in outputs:
         paths[r.name] = f"{conf.output_path}/{r.name}"
@@ -111,5 +112,15 @@ def run_workflow(protocol: Callable[[Context], Relation | Sequence[Relation]], c
 
 def compile_only(protocol: Callable[[Context], Relation | Sequence[Relation]], conf: Config, spark: SparkSession) -> list[policy.Step]:
     """Where each step would run, without running any."""
-    made = protocol(Context(spark, conf))
-    return policy.placement([r.node for r in ([made] if isinstance(made, Relation) else made)], conf.all_pids, conf.use_leaky_ops)
+    return policy.placement([r.node for r in _build(protocol, conf, spark)], conf.all_pids, conf.use_leaky_ops)
+
+
+def _build(protocol: Callable, conf: Config, spark: SparkSession) -> list[Relation]:
+    """The outputs: those that the protocol collected, else what it returned."""
+    with frontend.using(Context(spark, conf)) as ctx:
+        made = protocol(ctx) if inspect.signature(protocol).parameters else protocol()
+    if ctx.outputs:
+        return ctx.outputs
+    if made is None:
+        raise ValueError("the workflow neither collects nor returns a relation")
+    return [made] if isinstance(made, Relation) else list(made)
