@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -21,10 +22,14 @@ NUMBERS = "0-9²³¹¼-¾"
 SPACES = " \t\n\r\x0b\x0c "
 #: U+0130 grows when it is lower-cased; U+001C..U+001F and U+0085 are white space to some libraries only.
 UNCERTAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e -įı-ɏ]")
-# The vocabularies' own patterns, with the classes above put in.
-BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+# The vocabularies' own patterns, with the classes above put in. (Letters stand first in the one: no other
+# alternative that precedes them can begin with a letter or a space.)
+BYTE_LEVEL = re.compile(f" ?[{LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]++| ?[^{SPACES}{LETTERS}{NUMBERS}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]++")
 WORD_LEVEL = re.compile(f"[{SPACES}]*(?:'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+)|[{SPACES}]+")
 
+_ID = attrgetter("id")
+
+
 def _byte_spelling() -> dict[int, int]:
     """Byte-level vocabularies spell printable Latin-1 bytes as themselves and the others as U+0100 and on, in order."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -34,7 +39,13 @@ def _byte_spelling() -> dict[int, int]:
 
 _SPELLING = _byte_spelling()
 
-#: Pieces in a worker's generation, and the longest piece that is kept.
+
+def spelling(piece: str) -> str:
+    """How byte-level vocabularies spell a piece."""
+    return piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SPELLING)
+
+
+#: Pieces from which on a worker's generation is full (one text can double it), and the longest piece that is kept.
 KEPT, LONGEST = 250_000, 64
 
 
@@ -56,32 +67,36 @@ def load(path: str):
 
 
 class _Pieces(dict):
-    """piece -> what ``make`` gives for it. When full, the pieces become the old generation, from which those that are
-    met again move back; so memory is bounded and frequent pieces stay."""
+    """piece -> what ``make`` gives for it, in generations: a full one stays as the older one, from which pieces that are met again
+    move on. So memory is bounded and frequent pieces stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, kept: int | None = None, old: dict | None = None):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.kept, self.old = make, kept or KEPT, {} if old is None else old
 
     def __missing__(self, piece):
         out = self.old.get(piece)
         if out is None:
             out = self.make(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= KEPT:
-                self.old = dict(self)
-                self.clear()
+        if len(piece) <= LONGEST and len(self) < 2 * self.kept:
             self[piece] = out
         return out
 
+    def current(self) -> "_Pieces":
+        """This generation, or if it is full the next one."""
+        if len(self) < self.kept:
+            return self
+        self.old = {}
+        return _Pieces(self.make, self.kept, self)
+
 
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit integers, equal to the library's for the whole text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         self.tok = load(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self._piece)
+        self.pieces = _Pieces(self._piece, kept)
         self.tokenize = self.tok.model.tokenize
 
     def _whole(self, text: str) -> bytes:
@@ -89,8 +104,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """By the library's model alone: a piece needs no cutting any more, only the byte-level spelling of its bytes."""
-        spelt = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SPELLING)
-        return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+        return array("I", map(_ID, self.tokenize(spelling(piece)))).tobytes()
 
     def certain(self, text: str) -> bool:
         return UNCERTAIN.search(text) is None and not any(t in text for t in self.added)
@@ -98,10 +112,11 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not self.certain(text):
             return self._whole(text)
+        self.pieces = self.pieces.current()
         return b"".join(map(self.pieces.__getitem__, BYTE_LEVEL.findall(text)))
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int | None = None) -> Encoder:
     """One per worker process and vocabulary, so the pieces it knows outlive a task."""
-    return Encoder(path)
+    return Encoder(path, kept)

@@ -50,8 +50,9 @@ class Prefixes:
             return self._wide(np.r_[np.zeros(len(body) - 1, np.int64), self._count(body)])
         counts = [0, *(self.heads.get(body[:k]) for k in range(1, min(HEAD, len(body)) + 1)), *[None] * (len(body) - HEAD)]
         todo = [k for k, n in enumerate(counts) if n is None]
-        for k, e in zip(todo, self.tok.encode_batch_fast([body[:k] for k in todo], add_special_tokens=False)):
-            counts[k] = len(e)
+        for k in todo:
+            # a prefix of a piece is a piece, but for the contractions
+            counts[k] = len(self.enc.tokenize(K.spelling(body[:k]))) if body[0] != "'" else self._count(body[:k])
             if k <= HEAD:
                 if len(self.heads) >= K.KEPT:
                     self.heads.clear()
@@ -72,6 +73,7 @@ class Prefixes:
 
     def increments(self, text: str) -> bytes:
         if self.enc.certain(text):
+            self.pieces = self.pieces.current()
             return b"".join(map(self.pieces.__getitem__, K.WORD_LEVEL.findall(text.lower())))
         return self._by_library(text)
 
