@@ -26,8 +26,9 @@ LANES = 256
 #: A paragraph ends at a line's end or a sentence's end; one that is longer goes on as several, cut behind
 #: a word whose first and last character decide it, so that a cut moves with the words around it.
 LONG = 64
-#: Documents that a bucket of the order by id is meant to hold.
-BUCKET = 20_000
+#: Documents that a bucket of the order by id is meant to hold; beyond MOST_BUCKETS the buckets grow instead (a task sorts on disk and
+#: reads its bucket as a stream, so its memory does not), as their cut points are held by the driver.
+BUCKET, MOST_BUCKETS = 2000, 50_000
 _LEAST = -(2**63)
 
 
@@ -115,8 +116,8 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     keyed = C.texts(docs, id_col, text_col, F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("at"))
     n, top = keyed.agg(F.count(F.lit(1)), F.max("at")).first()
-    buckets = max(1, -(-n // BUCKET))
-    found = keyed.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
+    buckets = min(MOST_BUCKETS, max(1, -(-n // BUCKET)))
+    found = keyed.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], max(10_000, 20 * buckets))).first()[0] if buckets > 1 else []
     cuts = np.array(sorted({*found} - {top}), np.int64)  # bucket = number of cuts that are not below the id: descending ids, ascending buckets
 
     def place(ids: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pd.Series([[p, before[i]] if i in before else [p] for p, i in zip(place(ids).tolist(), ids.tolist())])
 
     dealt = keyed.select("at", "doc_id", "text", F.posexplode(places("at")).alias("extra", "place"))
-    return dealt.repartition(max(1, len(order)), "place").sortWithinPartitions("place", "extra", F.col("at").desc(), F.col("text").asc_nulls_first())
+    return dealt.repartition(len(order) // 4 + 1, "place").sortWithinPartitions("place", "extra", F.col("at").desc(), F.col("text").asc_nulls_first())
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +157,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last = [], None  # last: place, doc_id, text, fingerprint of the row that waits for the one behind it
-        for b in batches:
+        for b in C.sliced(batches):
             for place, extra, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("place", "extra", "doc_id", "text"))):
                 text = text or ""
                 if extra and (last is None or last[0] != place):
