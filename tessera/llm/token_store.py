@@ -31,6 +31,8 @@ END_ID = 2
 #: A chunk ends at an id where the rolling hash's low bits are 0: LEAST ids at least, MOST at most, about MASK + 1 on average.
 LEAST, MASK, MOST = 64, 511, 4096
 _KEY = 16
+#: Pieces that the encoder of a worker keeps in a generation: this operator has the memory for more than others.
+PIECES = 700_000
 #: Keys of chunks that a task has sent already; bounded, and begun anew when full.
 _SEEN = 200_000
 
@@ -42,18 +44,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(27))
 
 
+@lru_cache(maxsize=1)
+def _mixed() -> np.ndarray:
+    return (_mix(np.arange(65536, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream."""
     if not len(ids):
         return []
-    h, m, step = _mix(ids.astype(np.uint64)), 0x9E3779B97F4A7C15, 1
+    h = _mixed()[ids] if ids.max() < 65536 else (_mix(ids.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    m, step = 0x9E3779B1, 1
     with np.errstate(over="ignore"):
         while step < 16:  # the hash over 2, 4, 8, 16 ids
             more = np.zeros_like(h)
             more[step:] = h[:-step] if step < len(h) else 0
-            h = h + more * np.uint64(m)
-            m, step = m * m % 2**64, 2 * step
-    marks = np.flatnonzero(((h >> np.uint64(40)) & np.uint64(MASK)) == 0) + 1
+            h = h + more * np.uint32(m)
+            m, step = m * m % 2**32, 2 * step
+    marks = np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1
     ends, last = [], 0
     for e in [*marks.tolist(), len(ids)]:
         while e - last > MOST:
@@ -118,10 +126,10 @@ def _rows(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = K.encoder(path), np.array([end_id], "<u4")
+        enc, end = K.encoder(path, PIECES), np.array([end_id], "<u4")
         seen: set[bytes] = set()
         rows, number, part = [], 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in C.sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.concatenate([np.frombuffer(enc.ids(text or ""), "<u4"), end])
                 stored, last, refs = ids.astype(code), 0, []
@@ -153,7 +161,7 @@ def write_store(docs: DataFrame, folder: str, *, end_id: int = END_ID, path: str
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, path or K.default_path(VOCABULARY), end_id, id_col, text_col, id_type)
-    rows.dropDuplicates(["kind", "key"]).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/chunks")
+    rows.repartition("kind", "key").dropDuplicates(["kind", "key"]).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").partitionBy("kind").parquet(f"{folder}/chunks")
     found = spark.read.schema(f"key binary, doc_id {id_type}, n int, body binary, kind string").parquet(f"{folder}/chunks")
     ordered = found.where("kind = 'recipe'").select("doc_id", "key", "n", "body").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
 
