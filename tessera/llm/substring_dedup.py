@@ -137,19 +137,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     window, number of windows, and which of them (bits; -1: all)."""
     keyed = _keyed(docs, id_col, text_col)
     every = _path_rows(keyed.select("key", "same", "text"))
+    # Lists of keys are stored before they are joined: a join right behind their aggregate would take over its partitioning, and
+    # Spark could not split the partition of a hot key.
     # 2. anchors met twice or more; the count combines before its shuffle
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("anchor")
+    again = C.stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("anchor"), "substring-anchors")
     met = C.stored(every.join(again, "anchor"), "substring-paths")
     # 3. equal paths become one, with a representative source
     compact = met.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("doc_id", "same", "first", "n")).alias("at"))
     compact = C.stored(compact, "substring-compact")
-    branching = compact.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("anchor")
+    branching = C.stored(compact.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("anchor"), "substring-branching")
     # 4. representatives where an anchor branches, spelled out into edges
     spelt = compact.join(branching, "anchor").select("anchor", "path", "met", "at.*")
     wanted = spelt.groupBy("doc_id", "same").agg(F.collect_list(F.struct("anchor", "path", "first", "n", "met")).alias("wanted"))
     sources = keyed.select(F.col("key").alias("doc_id"), "same", "text").join(wanted, ["doc_id", "same"]).select("doc_id", "wanted", "text")
     edges = C.stored(_edges(sources).distinct(), "substring-edges")
-    twice = edges.groupBy("anchor", "edge_hi", "edge_lo").agg(F.count(F.lit(1)).alias("ways"), F.max("met").alias("most")).where("ways > 1 or most > 1").select("anchor", "edge_hi", "edge_lo")
+    repeated = edges.groupBy("anchor", "edge_hi", "edge_lo").agg(F.count(F.lit(1)).alias("ways"), F.max("met").alias("most")).where("ways > 1 or most > 1")
+    twice = C.stored(repeated.select("anchor", "edge_hi", "edge_lo"), "substring-repeated")
     marked = edges.join(twice, ["anchor", "edge_hi", "edge_lo"]).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
     # 5. back to all sources: all windows of a path met twice, the marked ones of the others
     whole = compact.where("met > 1").select("anchor", "path", F.lit(-1).cast("long").alias("places"))
