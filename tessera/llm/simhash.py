@@ -85,7 +85,8 @@ def _free_blocks(n: int) -> tuple:
 def _bucketed(distinct: DataFrame) -> DataFrame:
     """key, again (-1, or the second key of a crowded bucket), bits."""
     keyed = distinct.select("bits", F.explode(_keys(F.col("bits"), BLOCKS, len(BLOCKS) - RADIUS)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that the join has a partitioning of its own, in which Spark can split a hot key
+    sizes = C.stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     sized = keyed.join(sizes, "key")
     n_keys = len(list(combinations(BLOCKS, len(BLOCKS) - RADIUS)))
     again = reduce(lambda rest, n: F.when(F.col("key").bitwiseAND(15) == n, _keys(F.col("bits"), _free_blocks(n), 2)).otherwise(rest), range(n_keys), F.array(F.lit(-1).cast("long")))
