@@ -98,15 +98,42 @@ def pack_documents(docs: DataFrame, *, limits: Limits = Limits(), end_id: int =
     table; in a sequence the offsets have no gaps from 0. A document longer than a sequence is cut at multiples of it.
     """
     path = path or K.default_path(VOCABULARY)
+    end = np.array([end_id], "<u4").tobytes()
+
+    def examples(batch: pa.RecordBatch) -> Iterator[tuple]:
+        enc = K.encoder(path)
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield doc_id, enc.ids(text or "") + end, None
+
+    return _pack(C.texts(docs, id_col, text_col), examples, docs.schema[id_col].dataType.simpleString(), limits, pool)
+
+
+def pack_conversations(conversations: DataFrame, *, limits: Limits = Limits(), end_id: int = END_ID, path: str | None = None, bearing: tuple[str, ...] = ("assistant",), pool: int = POOL) -> DataFrame:
+    """The same columns for conversations (conv_id, turn, role, text), each an example: its turns in order, each with ``end_id`` behind it.
+    Only tokens of turns whose role is in ``bearing`` bear loss. Turns meet by conversation, which bounds what a task gathers; rows
+    of a null conv_id are one conversation, a null text is an empty turn, a null role bears none."""
+    path = path or K.default_path(VOCABULARY)
+    end = np.array([end_id], "<u4").tobytes()
+    turns = conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def examples(batch: pa.RecordBatch) -> Iterator[tuple]:
+        enc = K.encoder(path)
+        for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts = [(enc.ids(t["text"] or "") + end, t["role"] in bearing) for t in turns]
+            yield conv_id, b"".join(p for p, _ in parts), np.concatenate([np.full(len(p) // 4, bears, np.uint8) for p, bears in parts])
+
+    return _pack(turns, examples, conversations.schema["conv_id"].dataType.simpleString(), limits, pool)
+
+
+def _pack(rows_of: DataFrame, examples, kind: str, limits: Limits, pool: int) -> DataFrame:
+    """``examples`` gives (id, ids, loss marks or None) for the rows of a batch."""
     step = min(limits.tokens, limits.loss_tokens + 1)
-    kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     out = C.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = K.encoder(path), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         open_docs: dict[int, list] = {}  # number -> [doc_id, ids, tokens not yet placed]
         waiting: list[Piece] = []
@@ -126,15 +153,15 @@ def pack_documents(docs: DataFrame, *, limits: Limits = Limits(), end_id: int =
             sequence += 1
 
         for batch in C.sliced(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.ids(text or "") + end
+            for doc_id, ids, loss in examples(batch):
                 n = len(ids) // 4
                 open_docs[number] = [doc_id, ids, n]
-                whole = n - n % step
-                for start in range(0, whole, step):
-                    place([Piece(number, start, step)])
+                size = step if loss is None else min(step, limits.loss_tokens)
+                whole = n - n % size
+                for start in range(0, whole, size):
+                    place([Piece(number, start, size)])
                 if n > whole:
-                    waiting.append(Piece(number, whole, n - whole))
+                    waiting.append(Piece(number, whole, n - whole, None if loss is None else loss[whole:]))
                 number += 1
                 if len(waiting) >= pool:
                     for s in fill(waiting, limits, pool // 2):
@@ -147,7 +174,7 @@ def pack_documents(docs: DataFrame, *, limits: Limits = Limits(), end_id: int =
         if rows:
             yield C.to_batch(rows, out)
 
-    return C.texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return rows_of.mapInArrow(run, schema)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

@@ -219,3 +219,26 @@ def test_fill_does_not_cut_unless_allowed():
     assert sorted(p.length for s in made for p in s) == [30, 30, 60, 60, 60]
     with pytest.raises(ValueError):
         list(packing.fill([packing.Piece(0, 0, 101)], packing.Limits(100, 8, 200), 0))
+
+
+def test_packing_conversations(spark, data):
+    rows = spark.read.parquet(f"{data}/conversations.parquet")
+    odd = spark.createDataFrame([(10**6, 1, "user", None), (10**6, 2, None, "hello"), (10**6, 3, "assistant", "hi there"), (None, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    every = rows.select("conv_id", "turn", "role", "text").unionByName(odd)
+    limits = packing.Limits(1024, 3, 300)
+    got = packing.pack_conversations(every, limits=limits).collect()
+    turns = defaultdict(list)
+    for r in every.collect():
+        turns[r.conv_id].append((r.turn, r.role, r.text))
+    ids, loss = {}, {}
+    for c, v in turns.items():
+        parts = [(ids_with_end(t), role == "assistant") for _, role, t in sorted(v, key=lambda x: x[0])]
+        ids[c], loss[c] = np.concatenate([p for p, _ in parts]), np.concatenate([np.full(len(p), b) for p, b in parts])
+    seen, per_sequence = defaultdict(int), defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length].tolist()
+        seen[r.doc_id] += r.length
+        for k, x in enumerate((r.length, 1, int(loss[r.doc_id][r.start : r.start + r.length].sum()))):
+            per_sequence[r.sequence_id][k] += x
+    assert {c: len(x) for c, x in ids.items()} == dict(seen)
+    assert all(n <= 1024 and s <= 3 and b <= 300 for n, s, b in per_sequence.values())
