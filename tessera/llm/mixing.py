@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _common as C
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-SLICE = 20_000
+SLICE = 500
 SEED = "mix-1"
 
 
