@@ -67,6 +67,28 @@ def test_longest_prefix_within_a_budget(texts):
         assert token_counts.longest_within(inc, budget) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(ALPHABET, st.sampled_from(list("”“—’ж語한🙂e\u0301\u0327\u0338=ΑΣᄒ\u1161\u11ab") + ["’s", "<|endoftext", "word "])), max_size=25).map("".join))
+def test_every_prefix_of_any_text_has_its_count(text):
+    inc = token_counts._prefixes(WORD).increments(text)
+    assert [token_counts.tokens_at(inc, k) for k in range(len(text) + 1)] == [len(library(WORD, text[:k])) for k in range(len(text) + 1)]
+
+
+def test_every_prefix_of_long_pieces_has_its_count(texts):
+    letters = "".join(c for t in list(texts.values())[:20] for c in t.lower() if c.isalpha())
+    for t in ("x" * 700, letters[:900], "!?'-" * 150, "日本語" * 120, "’" + letters[:300], "e\u0301" * 200):
+        inc = token_counts._prefixes(WORD).increments(t)
+        assert [token_counts.tokens_at(inc, k) for k in range(len(t) + 1)] == [len(library(WORD, t[:k])) for k in range(len(t) + 1)]
+
+
+def test_longest_prefix_with_a_curly_quote(texts):
+    for t in [x for x in texts.values() if len(x) > 900][:10]:
+        t = "“quoted” " + t[:900]
+        inc = token_counts._prefixes(WORD).increments(t)
+        for budget in (17, 100):
+            assert token_counts.longest_within(inc, budget) == max(k for k in range(len(t) + 1) if len(library(WORD, t[:k])) <= budget)
+
+
 def test_counts_of_odd_rows(odd, nothing):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_counts.prefix_counts(odd).collect())
     assert got == sorted((i or -1, len((t or "").encode()), len(library(WORD, t or ""))) for i, t in ODD)
