@@ -128,6 +128,13 @@ def join_single_key(spark, d):
     return relational.join(c, t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey"), ["k"], ["k"])
 
 
+@query("select c_nationkey as k, c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey")
+def join_single_key_whole(spark, d):
+    """As join_single_key, over all customers."""
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    return relational.join(c, t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey"), ["k"], ["k"])
+
+
 @query("""select a.l_orderkey as ok, a.l_suppkey as sk, a.l_quantity as q1, b.l_tax as t2
 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey = b.l_suppkey""")
 def join_multi_key(spark, d):

@@ -36,3 +36,9 @@ def test_plans_push_down_and_prune(spark, data):
     assert "partial_count" in plan
     plan = QUERIES["top_k"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_a_single_key_join_over_all_customers(spark, duck, data):
+    found = QUERIES["join_single_key_whole"](spark, data)
+    want = duck.execute("select count(*), count(distinct c_custkey) from customer join supplier on c_nationkey = s_nationkey").fetchone()
+    assert (found.count(), found.select("c_custkey").distinct().count()) == want
