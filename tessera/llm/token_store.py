@@ -7,8 +7,10 @@ Files under one folder of the shared file system:
   chunks wherever they stand.
 * ``recipes`` (Parquet, in ascending doc_id order): per document its chunk keys and counts, the Merkle root over
   them, its tokens and its first token's place within the file's part.
+* ``manifest``: per part of the recipes their number and a sum of their hashes.
 
-Reading back checks every chunk against its key and every recipe against its root; a mismatch or a missing chunk raises.
+Reading back checks every chunk against its key, every recipe against its root and the recipes against the manifest; a mismatch, a missing
+chunk or a missing recipe raises. A store without a manifest is read without that last check.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,11 +178,32 @@ def write_store(docs: DataFrame, folder: str, *, end_id: int = END_ID, path: str
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(local)], names=[*b.schema.names, "part", "local_start"])
 
-    ordered.mapInArrow(places, f"doc_id {id_type}, key binary, n int, body binary, part int, local_start long").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    kinds = f"doc_id {id_type}, key binary, n int, body binary, part int, local_start long"
+    ordered.mapInArrow(places, kinds).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    _summed(spark.read.schema(kinds).parquet(f"{folder}/recipes")).coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def _summed(recipes: DataFrame) -> DataFrame:
+    """part, recipes, hashes: one row a part, the same in whatever order the recipes are read."""
+    rest = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "n", "part", "local_start")
+    hashed = F.sha2(F.concat("key", "body", F.encode(rest, "utf-8")), 256)
+    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("recipes"), F.sum(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("decimal(28,0)")).alias("hashes"))
 
 
 def _recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/recipes")
+    """All recipes, once they agree with the manifest."""
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    try:
+        manifest = spark.read.schema("part int, recipes long, hashes decimal(38,0)").parquet(f"{folder}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return recipes
+    told, found = manifest.select("part", F.struct("recipes", "hashes").alias("told")), _summed(recipes).select("part", F.struct("recipes", "hashes").alias("found"))
+    wrong = told.join(found, "part", "full").where(~F.col("told").eqNullSafe(F.col("found"))).select("part").head(1)
+    if wrong:
+        raise ValueError(f"the recipes of part {wrong[0].part} are not those that the manifest names")
+    return recipes
 
 
 def _refs(recipes: DataFrame) -> DataFrame:
@@ -209,13 +233,15 @@ def _unpacked(body: bytes, n: int) -> bytes:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Rebuild: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), by joining the recipes' references with the chunks."""
     recipes = _with_start(_recipes(spark, folder))
-    parts = _refs(recipes).join(_chunks(spark, folder), "chunk", "left").groupBy("recipe").agg(F.array_sort(F.collect_list(F.struct("at", "n", "body"))).alias("parts"))
+    parts = _refs(recipes).join(_chunks(spark, folder), "chunk", "left").groupBy("recipe").agg(F.array_sort(F.collect_list(F.struct("at", "n", "chunk", "body"))).alias("parts"))
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, start, n, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "parts"))):
             for p in parts:
                 if p["body"] is None:
                     raise ValueError("a chunk is missing")
+                if key_of(p["body"]) != p["chunk"]:
+                    raise ValueError(f"the chunk {p['chunk'].hex()} does not have the content that it names")
             yield doc_id, start, n, b"".join(_unpacked(p["body"], p["n"]) for p in parts)
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
@@ -248,8 +274,9 @@ def digest(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("recipe"), b.column("stored"), pa.array(crc.astype(np.int64))], names=["recipe", "n", "crc"])
 
     chunks = C.arrow_map(_chunks(spark, folder), sums, "chunk binary, stored int, crc long")
-    recipes = _with_start(_recipes(spark, folder))
-    joined = _refs(_recipes(spark, folder)).join(chunks, "chunk", "left").select("recipe", "stored", "after", "crc").mapInArrow(shifts, "recipe binary, n int, crc long")
+    read = _recipes(spark, folder)
+    recipes = _with_start(read)
+    joined = _refs(read).join(chunks, "chunk", "left").select("recipe", "stored", "after", "crc").mapInArrow(shifts, "recipe binary, n int, crc long")
     whole = joined.groupBy("recipe").agg(F.sum(F.col("n").cast("long")).alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return recipes.join(whole, recipes["key"] == whole["recipe"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 

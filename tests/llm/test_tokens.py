@@ -172,6 +172,28 @@ def test_store_notices_damage(spark, odd, tmp_path):
         token_store.digest(spark, f"{tmp_path}/u").collect()
 
 
+def test_reading_documents_notices_altered_chunks(spark, odd, tmp_path):
+    token_store.write_store(odd, f"{tmp_path}/s")
+    chunks = spark.read.parquet(f"{tmp_path}/s/chunks/kind=chunk")
+    bad = [(r.key, None, r.n, bytes([r.body[0] ^ 1]) + bytes(r.body[1:])) for r in chunks.collect()]
+    spark.createDataFrame(bad, chunks.schema).write.parquet(f"{tmp_path}/u/chunks/kind=chunk")
+    spark.read.parquet(f"{tmp_path}/s/recipes").write.parquet(f"{tmp_path}/u/recipes")
+    with pytest.raises(Exception, match="does not have the content"):
+        token_store.read_documents(spark, f"{tmp_path}/u").collect()
+
+
+def test_store_notices_lost_recipes(spark, odd, tmp_path):
+    token_store.write_store(odd, f"{tmp_path}/s")
+    recipes = spark.read.parquet(f"{tmp_path}/s/recipes")
+    left = recipes.collect()[1:]
+    spark.createDataFrame(left, recipes.schema).write.parquet(f"{tmp_path}/left")
+    (tmp_path / "s/recipes").rename(tmp_path / "old")
+    (tmp_path / "left").rename(tmp_path / "s/recipes")
+    for reader in (token_store.digest, token_store.read_documents):
+        with pytest.raises(ValueError, match="the manifest names"):
+            reader(spark, f"{tmp_path}/s").collect()
+
+
 def test_merkle_root_depends_on_order_and_count():
     r = token_store.merkle_root
     assert len({r([]), r([b"a"]), r([b"a", b"b"]), r([b"b", b"a"]), r([b"a", b"b", b"b"])}) == 5
