@@ -68,3 +68,11 @@ def test_pipeline_on_odd_rows(spark, odd, nothing, data):
         for name, stage in corpus_pipeline.STAGES:
             kept = C.stored(stage(spark, kept, data), f"odd-{name}")
         assert (kept.count() > 0) == (docs is odd)
+
+
+def test_run_gives_the_rows_of_the_stages_chained_by_hand(spark, data):
+    docs = C.table(spark, data, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = C.stored(stage(spark, docs, data), f"chained-{name}")
+    rows = [sorted(map(tuple, x.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) for x in (docs, corpus_pipeline.run(spark, data))]
+    assert rows[0] and rows[0] == rows[1]
