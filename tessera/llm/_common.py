@@ -17,13 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the session's own checkpoint folder. Only where driver and executors are
+    one process (tests) is a temporary folder taken."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
     if top is None:
-        held = sc._jsc.sc().getCheckpointDir()
-        top = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tessera-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if held.isDefined():
+            top = held.get()
+        elif sc._jsc.sc().isLocal():
+            top = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not held.isDefined():
         sc.setCheckpointDir(top)
     return top.rstrip("/")
 
@@ -47,6 +53,32 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators have stored; for when their results have been read or written elsewhere."""
+    remove(spark, f"{shared_dir(spark)}/tables")
+
+
+class Scratch:
+    """Tables that are needed only until the block ends; nothing that is still lazy then may read them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.top = spark, label, new_path(spark, label)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        return stored(df, label, f"{self.top}/{label}-{uuid.uuid4().hex[:8]}")
+
+    def __exit__(self, *error: object) -> None:
+        remove(self.spark, self.top)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """Only the id and the text (and ``more``), under fixed names, whatever else ``docs`` carries."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)

@@ -3,14 +3,18 @@
 The windows of WINDOW words are the edges of a De Bruijn graph over all texts; an edge that is met twice or more marks its words. The graph
 is never spelled out edge by edge:
 
-1. Every document's edges are cut into paths: the longest runs of successive windows that share a minimizer (the k-mer of
+1. Every text's edges are cut into paths: the longest runs of successive windows that share a minimizer (the k-mer of
    ANCHOR words with the least hash among those of a window, the leftmost at a tie). Equal windows have equal
    minimizers at equal places, so a repeated edge is only ever met on paths with the same anchor.
 2. Paths whose anchor is met once in the corpus are unique and go no further.
-3. Equal paths compact into one by a join key (anchor, hash of the path's words): if met twice, all their edges are repeated.
+3. Equal paths compact into one by a join on the 128-bit hash of their words: if met twice, all their edges are repeated.
 4. Only where an anchor has different paths (a graph node that branches) is one representative of each, read back by its source
-   coordinates, spelled out into edges, and the edges counted by a 128-bit hash of their words.
+   coordinates, spelled out into edges; an edge is repeated if two paths have it, or one that is met twice.
 5. Coordinates turn the repeated edges of each path into word ranges of all its sources; touching ranges join into the repeated spans.
+   There the words that lie at the coordinates are hashed again and must give the path's hash, else the job fails.
+
+Two runs of words count as equal if their 128-bit hashes (XXH3 of the words joined by single spaces) are, and two texts if theirs (XXH64 under two
+seeds) are. With n different runs a false match has a chance of about n^2 / 2^129: below 1e-14 for 10^12 of them.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ from pyspark.sql import functions as F
 from tessera.llm import _common as C
 
 WINDOW, ANCHOR = 35, 8
+#: Windows of one text, and words of several texts, that are looked at together; a longer text goes in parts, a path ends where a part ends.
+PART = 1 << 15
 _SPACE = 32
+_MULT = 0x9E3779B97F4A7C15
 
 
 def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -38,144 +45,197 @@ def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return joined, np.r_[0, gaps + 1], np.r_[gaps, len(joined)]
 
 
-_MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    held = _powers.get(str(base))
-    if held is None or len(held) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        step = np.full(size, base, np.uint64)
-        step[0] = 1
-        with np.errstate(over="ignore"):
-            held = np.multiply.accumulate(step)
-        if size <= 1 << 20:
-            _powers[str(base)] = held
-    return held[:n]
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial in the bytes of each word, modulo 2^64, scrambled; it only chooses anchors."""
-    b = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
-    sums = np.empty(len(b) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(b * _power_table(_INVERSE, len(b)), out=sums[1:])
-    return _scramble((sums[ends] - sums[starts]) * _power_table(_MULT, len(b) + 1)[ends])
-
-
-def paths(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """joined, starts, ends of the words; then for each path its anchor's hash, its first window and its number of windows."""
-    joined, starts, ends = _words(text)
-    none = np.empty(0, np.int64)
-    if len(starts) < WINDOW:
-        return joined, starts, ends, none, none, none
+def _minimizers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a run of word hashes: the least hash among its k-mers, and where that k-mer starts (leftmost at a tie)."""
     with np.errstate(over="ignore"):
-        h = _word_hashes(joined, starts, ends)
-        # k-mers of ANCHOR = 8 words by doubling; the order matters, so the halves are mixed differently
-        k = h
-        for step in (1, 2, 4):
+        k = hashes
+        for step in (1, 2, 4):  # k-mers of ANCHOR = 8 words by doubling; the order matters, so the halves are mixed differently
             k = _scramble(k[:-step] * np.uint64(_MULT) + k[step:])
-    n, span = len(starts) - WINDOW + 1, WINDOW - ANCHOR + 1
-    low, at, width = k.copy(), np.arange(len(k)), 1
-    while width < span:  # the least k-mer of 2, 4, ... and at last span k-mers, and where it is; leftmost at a tie
+    span, low, at, width = WINDOW - ANCHOR + 1, k, np.arange(len(k)), 1
+    while width < span:  # over 2, 4, ... and at last span k-mers
         step = min(width, span - width)
         right = low[step:] < low[:-step]
         at = np.where(right, at[step:], at[:-step])
         low = np.where(right, low[step:], low[:-step])
         width += step
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return joined, starts, ends, low[first].view(np.int64), first, np.diff(np.r_[first, n])
+    return low, at
+
+
+class _Paths:
+    """Paths of the parts of texts that were added, all parts at once: numpy's cost for each call is shared by short texts."""
+
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
+        self.parts: list[tuple[int, int, int]] = []  # of each part: what it belongs to, its first word there, its number of words
+
+    def add(self, owner: int, text: str | None) -> Iterator[tuple]:
+        """What is ready."""
+        words = (text or "").encode().split()
+        for at in range(0, len(words) - WINDOW + 1, PART):
+            part = words[at : at + PART + WINDOW - 1]
+            self.words += part
+            self.parts.append((owner, at, len(part)))
+            if len(self.words) >= PART:
+                yield self.flush()
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """owner, anchor, first window, number of windows of each path; the words joined, and each path's first byte and the one behind its last."""
+        words, (owner, offset, count) = self.words, np.array(self.parts, np.int64).reshape(-1, 3).T
+        self.words, self.parts = [], []
+        if not words:
+            none = np.empty(0, np.int64)
+            return none, none, none, none, b"", none, none
+        low, at = _minimizers(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        begins = np.cumsum(count) - count
+        part = np.repeat(np.arange(len(count)), count)
+        inside = part[: len(low)] == part[WINDOW - 1 :]  # a window over the words of two parts is none
+        new = np.r_[True, (at[1:] != at[:-1]) | (part[1 : len(low)] != part[: len(low) - 1]) | (inside[1:] & ~inside[:-1])]
+        first = np.flatnonzero(new & inside)
+        ends = np.r_[np.flatnonzero(new | ~inside), len(low)]
+        n = ends[np.searchsorted(ends, first, side="right")] - first
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin_of = np.cumsum(lengths) - lengths
+        last = first + n + WINDOW - 2
+        p = part[first]
+        return owner[p], low[first].view(np.int64), first - begins[p] + offset[p], n, b" ".join(words), begin_of[first], begin_of[last] + lengths[last] - 1
+
+
+def paths(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each path of a text: its anchor's hash, its first window and its number of windows."""
+    found = _Paths()
+    done = [*found.add(0, text), found.flush()]
+    return tuple(np.concatenate([d[i] for d in done]) for i in (1, 2, 3))
+
+
+def _hashes(joined: bytes, begins: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of runs of words, as two longs."""
+    h = xxhash.xxh3_128_digest
+    two = np.frombuffer(b"".join([h(joined[a:b]) for a, b in zip(begins, ends)]), ">i8").reshape(-1, 2).astype(np.int64)
+    return two[:, 0], two[:, 1]
 
 
-def _path_rows(docs: DataFrame) -> DataFrame:
-    schema = "anchor long, path long, doc_id long, same int, first int, n int"
-    out = C.arrow_schema(schema)
-    h = xxhash.xxh3_64_intdigest
+def _anchors(keyed: DataFrame) -> DataFrame:
+    """anchor, met: how often it is met in a few texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.sliced(batches):
-            held, rows = [], 0
-            for doc_id, same, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                joined, starts, ends, anchors, first, n = paths(text)
-                if not len(first):
-                    continue
-                a, b = starts[first].tolist(), ends[first + n + WINDOW - 2].tolist()
-                hashes = np.array([h(joined[x:y]) for x, y in zip(a, b)], np.uint64).view(np.int64)
-                held.append((anchors, hashes, np.full(len(n), doc_id), np.full(len(n), same), first, n))
-                rows += len(n)
-                if rows > 50_000:
-                    yield batch_of(held)
-                    held, rows = [], 0
-            if held:
-                yield batch_of(held)
+        found = _Paths()
+
+        def counted(done: tuple) -> pa.RecordBatch:
+            anchor, met = np.unique(done[1], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(met)], names=["anchor", "met"])
+
+        for b in C.sliced(batches):
+            for text in b.column(0).to_pylist():
+                yield from map(counted, found.add(0, text))
+        yield counted(found.flush())
+
+    return keyed.select("text").mapInArrow(run, "anchor long, met long")
+
+
+_SOURCE = "key long, text_hi long, text_lo long"
+_PATH = "path_hi long, path_lo long"
 
-    def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*held), out)], schema=out)
 
-    return docs.mapInArrow(run, schema)
+def _path_rows(keyed: DataFrame) -> DataFrame:
+    schema = f"anchor long, {_PATH}, {_SOURCE}, first int, n byte"
+    out = C.arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sources = _Paths(), []
 
+        def rows_of(done: tuple) -> pa.RecordBatch:
+            owner, anchor, first, n, joined, begins, ends = done
+            source = np.array(sources, np.int64).reshape(-1, 3)[owner]
+            cols = [anchor, *_hashes(joined, begins.tolist(), ends.tolist()), *source.T, first, n]
+            if not found.parts:
+                sources.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, out)], schema=out)
+
+        for b in C.sliced(batches):
+            for *source, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                sources.append(source)
+                yield from map(rows_of, found.add(len(sources) - 1, text))
+        yield rows_of(found.flush())
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key and same name a row by its id and its text: rows that share both are alike in every result."""
-    return C.texts(docs, id_col, text_col, *_keys(id_col, text_col))
+    return keyed.select("key", "text_hi", "text_lo", "text").mapInArrow(run, schema)
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.hash(F.col(text_col)).alias("same")]
+    """key, text_hi and text_lo name a row by its id and its text: rows that share them are alike in every result. Rows without an id have the least key,
+    and differ by their texts' hashes."""
+    text = F.col(text_col)
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("text_hi"), F.xxhash64(F.lit("w"), text).alias("text_lo")]
+
+
+_BY_TEXT = ["key", "text_hi", "text_lo"]
+_BY_PATH = ["path_hi", "path_lo"]
+_BY_EDGE = ["edge_hi", "edge_lo"]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, same, runs array<struct<first, n, places>>: for each row of ``_keyed`` that has any, its paths with repeated windows: first
-    window, number of windows, and which of them (bits; -1: all)."""
-    keyed = _keyed(docs, id_col, text_col)
-    every = _path_rows(keyed.select("key", "same", "text"))
-    # Lists of keys are stored before they are joined: a join right behind their aggregate would take over its partitioning, and
-    # Spark could not split the partition of a hot key.
-    # 2. anchors met twice or more; the count combines before its shuffle
-    again = C.stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("anchor"), "substring-anchors")
-    met = C.stored(every.join(again, "anchor"), "substring-paths")
-    # 3. equal paths become one, with a representative source
-    compact = met.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("doc_id", "same", "first", "n")).alias("at"))
-    compact = C.stored(compact, "substring-compact")
-    branching = C.stored(compact.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("anchor"), "substring-branching")
-    # 4. representatives where an anchor branches, spelled out into edges
-    spelt = compact.join(branching, "anchor").select("anchor", "path", "met", "at.*")
-    wanted = spelt.groupBy("doc_id", "same").agg(F.collect_list(F.struct("anchor", "path", "first", "n", "met")).alias("wanted"))
-    sources = keyed.select(F.col("key").alias("doc_id"), "same", "text").join(wanted, ["doc_id", "same"]).select("doc_id", "wanted", "text")
-    edges = C.stored(_edges(sources).distinct(), "substring-edges")
-    repeated = edges.groupBy("anchor", "edge_hi", "edge_lo").agg(F.count(F.lit(1)).alias("ways"), F.max("met").alias("most")).where("ways > 1 or most > 1")
-    twice = C.stored(repeated.select("anchor", "edge_hi", "edge_lo"), "substring-repeated")
-    marked = edges.join(twice, ["anchor", "edge_hi", "edge_lo"]).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
-    # 5. back to all sources: all windows of a path met twice, the marked ones of the others
-    whole = compact.where("met > 1").select("anchor", "path", F.lit(-1).cast("long").alias("places"))
-    hit = whole.unionByName(marked.join(whole.select("anchor", "path"), ["anchor", "path"], "left_anti"))
-    ranges = met.join(hit, ["anchor", "path"]).groupBy(F.col("doc_id").alias("key"), "same").agg(F.collect_set(F.struct("first", "n", "places")).alias("runs"))
-    return ranges
+    """key, text_hi, text_lo, runs array<struct<first, n, places, path_hi, path_lo>>: for each row that has any, its paths with repeated windows: first
+    window, number of windows, which of them (bits; -1: all) and the path's hash. One row for rows of equal ids and texts."""
+    keyed = C.texts(docs, id_col, text_col, *_keys(id_col, text_col)).drop("doc_id")
+    with C.Scratch(docs.sparkSession, "substring") as scratch:
+        # Lists of keys are stored before they are joined: a join right behind their aggregate would take over its partitioning, and
+        # Spark could not split the partition of a hot key.
+        # 2. anchors met twice or more; the count combines before its shuffle
+        again = scratch.stored(_anchors(keyed).groupBy("anchor").agg(F.sum("met").alias("met")).where("met > 1").select("anchor"), "anchors")
+        met = scratch.stored(_path_rows(keyed).join(again, "anchor"), "paths")
+        # 3. equal paths become one, with a representative source
+        compact = scratch.stored(met.groupBy("anchor", *_BY_PATH).agg((F.count(F.lit(1)) > 1).alias("twice"), F.min(F.struct(*_BY_TEXT, "first", "n")).alias("at")), "compact")
+        branching = scratch.stored(compact.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("anchor"), "branching")
+        # 4. representatives where an anchor branches, spelled out into edges
+        spelt = compact.join(branching, "anchor").select(*_BY_PATH, "twice", "at.*")
+        wanted = scratch.stored(spelt.groupBy(*_BY_TEXT).agg(F.collect_list(F.struct(*_BY_PATH, "first", "n", "twice")).alias("wanted")), "wanted")
+        edges = scratch.stored(_edges(keyed.join(wanted, _BY_TEXT).select("wanted", "text")), "edges")
+        one, other = F.struct(*[F.min(c).alias(c) for c in _BY_PATH]), F.struct(*[F.max(c).alias(c) for c in _BY_PATH])
+        repeated = edges.groupBy(*_BY_EDGE).agg(one.alias("one"), other.alias("other"), F.max("twice").alias("twice")).where("twice or one <> other")
+        listed = scratch.stored(repeated.select(*_BY_EDGE), "repeated")
+        marked = edges.where("not twice").join(listed, _BY_EDGE).groupBy(*_BY_PATH).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
+        # 5. back to all sources: all windows of a path met twice, the marked ones of the others
+        hit = compact.where("twice").select(*_BY_PATH, F.lit(-1).cast("long").alias("places")).unionByName(marked)
+        hit = scratch.stored(hit, "hit")
+        runs = met.join(hit, _BY_PATH).groupBy(*_BY_TEXT).agg(F.collect_set(F.struct("first", "n", "places", *_BY_PATH)).alias("runs"))
+        return C.stored(runs, "substring-spans")
 
 
 def _edges(sources: DataFrame) -> DataFrame:
-    """anchor, path, met, place (of the edge on its path), edge (128-bit hash of its words, as two longs)."""
-    h = xxhash.xxh3_128_digest
-
-    def run(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for wanted, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            joined, starts, ends = _words(text)
-            a, b = starts.tolist(), ends[WINDOW - 1 :].tolist()
-            for w in {(w["anchor"], w["path"]): w for w in wanted}.values():
-                f = w["first"]
-                for place in range(w["n"]):
-                    d = h(joined[a[f + place] : b[f + place]])
-                    yield w["anchor"], w["path"], w["met"], place, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+    """The edges of the paths that ``wanted`` names: path, whether it is met twice, place (of the edge on its path), edge (128-bit hash of its words)."""
+    schema = f"{_PATH}, twice boolean, place byte, edge_hi long, edge_lo long"
+    out = C.arrow_schema(schema)
 
-    return C.arrow_map(sources, run, "anchor long, path long, met long, place int, edge_hi long, edge_lo long", rows=16384)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.sliced(batches):
+            for wanted, text in zip(b.column(0), b.column(1).to_pylist()):
+                w = wanted.values
+                joined, starts, ends = _words(text)
+                path_hi, path_lo, first, n = (w.field(c).to_numpy(zero_copy_only=False) for c in (*_BY_PATH, "first", "n"))
+                twice, n = w.field("twice").to_numpy(zero_copy_only=False), n.astype(np.int64)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(first, n) + place
+                of = np.repeat(np.arange(len(n)), n)
+                for i in range(0, len(at), PART):
+                    part = slice(i, i + PART)
+                    edge = _hashes(joined, starts[at[part]].tolist(), ends[at[part] + WINDOW - 1].tolist())
+                    cols = [path_hi[of[part]], path_lo[of[part]], twice[of[part]], place[part].astype(np.int8), *edge]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=out)
+
+    return sources.mapInArrow(run, schema)
+
+
+def _verify(joined: bytes, starts: np.ndarray, ends: np.ndarray, runs: list[dict]) -> None:
+    """The words at a run's coordinates are those of the path that it stands for."""
+    for r in runs:
+        last = r["first"] + r["n"] + WINDOW - 2
+        if last >= len(ends) or xxhash.xxh3_128_intdigest(joined[starts[r["first"]] : ends[last]]) != (r["path_hi"] % 2**64) << 64 | r["path_lo"] % 2**64:
+            raise ValueError("the words at the coordinates of a repeated span are not those that were counted")
 
 
 def covered(n_words: int, runs: list[dict] | None) -> np.ndarray:
@@ -193,25 +253,29 @@ def covered(n_words: int, runs: list[dict] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _cut(text: str | None, runs: list[dict] | None) -> tuple[int, list[bytes]]:
+    """How many words the text has, and those that stay."""
+    words = (text or "").encode().split()
+    if not runs:
+        return len(words), words
+    _verify(*_words(text), runs)
+    return len(words), [w for w, gone in zip(words, covered(len(words), runs).tolist()) if not gone]
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces); one row for a row.
 
     A null text has no words; a text of fewer than WINDOW words loses none. Rows with equal id and text repeat each other and
-    lose what a window covers, like any other copies. Null ids pass through. Other columns are not read.
+    lose what a window covers, like any other copies; so do rows without an id, each by its own text. Null ids pass through. A very long text is
+    looked at in parts, with the same result. Other columns are not read. An empty table gives an empty one.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(docs, id_col, text_col)
-    joined = keyed.join(spans, ["key", "same"], "left").select("doc_id", "text", "runs")
+    keyed = C.texts(docs, id_col, text_col, *_keys(id_col, text_col))
+    joined = keyed.join(repeated_spans(docs, id_col, text_col), _BY_TEXT, "left").select("doc_id", "text", "runs")
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words = (text or "").encode().split()
-            if runs:
-                gone = covered(len(words), runs)
-                left = [w for w, g in zip(words, gone.tolist()) if not g]
-            else:
-                left = words
-            yield doc_id, len(words), len(words) - len(left), b" ".join(left).decode()
+            n, left = _cut(text, runs)
+            yield doc_id, n, n - len(left), b" ".join(left).decode()
 
     return C.arrow_map(joined, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string", rows=256)
 
@@ -219,8 +283,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with the covered words gone from the texts that have any (their other words joined by single
     spaces); ``n_chars``, where there is such a column, is that of the new text."""
-    spans = repeated_spans(docs, id_col, text_col).select("key", "same", "runs")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *_keys(id_col, text_col)).join(spans, ["key", "same"], "left")
+    spans = repeated_spans(docs, id_col, text_col)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *_keys(id_col, text_col)).join(spans, _BY_TEXT, "left")
     joined = whole.select("row.*", F.col("runs").alias(C.fresh(docs, "runs")))
     at = docs.columns.index(text_col)
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -231,8 +295,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new, sizes = [], []
             for text, runs in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 if runs:
-                    words = text.encode().split()
-                    text = b" ".join(w for w, g in zip(words, covered(len(words), runs).tolist()) if not g).decode()
+                    text = b" ".join(_cut(text, runs)[1]).decode()
                 new.append(text)
                 sizes.append(len(text) if runs else None)
             cols[at] = pa.array(new, cols[at].type)

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash, substring_dedup
 from tessera.llm.components import components
@@ -140,7 +141,8 @@ def plain_dedup(rows):
 
 def test_paths_cover_every_window_once(texts):
     for t in list(texts.values())[:80]:
-        joined, starts, ends, anchors, first, n = substring_dedup.paths(t)
+        joined, starts, ends = substring_dedup._words(t)
+        _, first, n = substring_dedup.paths(t)
         w = (t or "").encode().split()
         assert b" ".join(w) == joined and [joined[a:b] for a, b in zip(starts, ends)] == w
         covered = [k for a, c in zip(first.tolist(), n.tolist()) for k in range(a, a + c)]
@@ -153,7 +155,7 @@ def test_equal_windows_have_equal_anchors():
     common = " ".join(f"w{k}" for k in rng.integers(0, 50, 200))
 
     def anchor_of(prefix):
-        _, _, _, anchors, first, n = substring_dedup.paths(prefix + common)
+        anchors, first, n = substring_dedup.paths(prefix + common)
         at = len(prefix.split())
         flat = {k: a for a, f, c in zip(anchors.tolist(), first.tolist(), n.tolist()) for k in range(f, f + c)}
         return [flat[at + k] for k in range(200 - 34)]
@@ -203,3 +205,54 @@ def test_substring_of_odd_rows(odd, nothing):
 @pytest.mark.parametrize("n, runs, want", [(40, [{"first": 0, "n": 6, "places": -1}], 40), (40, [{"first": 0, "n": 6, "places": 0b100000}], 35), (40, None, 0)])
 def test_covered(n, runs, want):
     assert substring_dedup.covered(n, runs).sum() == want
+
+
+def same_32_bit_hash(spark):
+    """Two different texts of 40 words that Spark's 32-bit hash takes for one."""
+    base = " ".join(f"v{k}" for k in range(39))
+    made = spark.range(400_000).selectExpr(f"concat('{base} z', id) as text").selectExpr("text", "hash(text) as h")
+    pair = made.groupBy("h").agg(F.collect_list("text").alias("all")).where("size(all) > 1").selectExpr("all").first()[0]
+    return pair[:2]
+
+
+def test_rows_without_an_id_are_told_apart_by_their_whole_text(spark):
+    a, b = same_32_bit_hash(spark)
+    rows = [(None, a), (None, a), (None, b + " tail"), (None, b)]
+    got = sorted((r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(r[1:] for r in plain_dedup(rows))
+    alone = "n " * 34 + "q"
+    rows = [(None, a), (None, a), (None, alone)]
+    got = sorted((r.n_words, r.n_removed) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(35, 0), (40, 40), (40, 40)]
+
+
+def test_most_rows_under_one_key(spark):
+    """Nine rows of ten have no id and one text; one of the others shares a passage with them."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(None, passage)] * 450 + [(i, " ".join(f"u{i}_{k}" for k in range(50))) for i in range(49)] + [(99, "x y " + " ".join(passage.split()[5:45]) + " z")]
+    got = [tuple(r) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(plain_dedup(rows), key=key)
+
+
+def test_long_texts_go_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    long = [f"w{k}" for k in rng.integers(0, 900, 70_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[30_000:34_000])), (3, " ".join(long[100:160]) + " end"), (4, "solo")]
+    got = sorted(tuple(r) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_dedup(rows)
+    monkeypatch.setattr(substring_dedup, "PART", 50)
+    _, first, n = substring_dedup.paths(" ".join(long[:500]))
+    assert [k for a, c in zip(first.tolist(), n.tolist()) for k in range(a, a + c)] == list(range(466))
+
+
+def test_coordinates_are_verified():
+    words = [f"w{k}" for k in range(50)]
+    joined, starts, ends = substring_dedup._words(" ".join(words))
+    h = xxhash.xxh3_128_intdigest(" ".join(words[3:40]).encode())
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    run = {"first": 3, "n": 3, "places": -1, "path_hi": signed(h >> 64), "path_lo": signed(h % 2**64)}
+    substring_dedup._verify(joined, starts, ends, [run])
+    for wrong in (run | {"first": 4}, run | {"n": 2}, run | {"n": 60}, run | {"path_lo": 5}):
+        with pytest.raises(ValueError, match="coordinates"):
+            substring_dedup._verify(joined, starts, ends, [wrong])
