@@ -72,25 +72,27 @@ class _Paths:
 
     def __init__(self) -> None:
         self.words: list[bytes] = []
-        self.parts: list[tuple[int, int, int]] = []  # of each part: what it belongs to, its first word there, its number of words
+        self.parts: list[tuple[int, ...]] = []  # of each part: its first word in its text, its number of words, what names the text
 
-    def add(self, owner: int, text: str | None) -> Iterator[tuple]:
+    def add(self, text: str | None, *source: int) -> Iterator[tuple]:
         """What is ready."""
         words = (text or "").encode().split()
         for at in range(0, len(words) - WINDOW + 1, PART):
             part = words[at : at + PART + WINDOW - 1]
             self.words += part
-            self.parts.append((owner, at, len(part)))
+            self.parts.append((at, len(part), *source))
             if len(self.words) >= PART:
                 yield self.flush()
 
-    def flush(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-        """owner, anchor, first window, number of windows of each path; the words joined, and each path's first byte and the one behind its last."""
-        words, (owner, offset, count) = self.words, np.array(self.parts, np.int64).reshape(-1, 3).T
+    def flush(self) -> tuple:
+        """The source (a row for each path), anchor, first window and number of windows of each path; the words joined, and each path's first byte and the one
+        behind its last."""
+        words, parts = self.words, np.array(self.parts, np.int64)
         self.words, self.parts = [], []
         if not words:
             none = np.empty(0, np.int64)
-            return none, none, none, none, b"", none, none
+            return none.reshape(0, 0), none, none, none, b"", none, none
+        offset, count = parts[:, 0], parts[:, 1]
         low, at = _minimizers(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
         begins = np.cumsum(count) - count
         part = np.repeat(np.arange(len(count)), count)
@@ -103,13 +105,13 @@ class _Paths:
         begin_of = np.cumsum(lengths) - lengths
         last = first + n + WINDOW - 2
         p = part[first]
-        return owner[p], low[first].view(np.int64), first - begins[p] + offset[p], n, b" ".join(words), begin_of[first], begin_of[last] + lengths[last] - 1
+        return parts[p, 2:], low[first].view(np.int64), first - begins[p] + offset[p], n, b" ".join(words), begin_of[first], begin_of[last] + lengths[last] - 1
 
 
 def paths(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each path of a text: its anchor's hash, its first window and its number of windows."""
     found = _Paths()
-    done = [*found.add(0, text), found.flush()]
+    done = [*found.add(text), found.flush()]
     return tuple(np.concatenate([d[i] for d in done]) for i in (1, 2, 3))
 
 
@@ -132,7 +134,7 @@ def _anchors(keyed: DataFrame) -> DataFrame:
 
         for b in C.sliced(batches):
             for text in b.column(0).to_pylist():
-                yield from map(counted, found.add(0, text))
+                yield from map(counted, found.add(text))
         yield counted(found.flush())
 
     return keyed.select("text").mapInArrow(run, "anchor long, met long")
@@ -147,20 +149,16 @@ def _path_rows(keyed: DataFrame) -> DataFrame:
     out = C.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, sources = _Paths(), []
+        found = _Paths()
 
         def rows_of(done: tuple) -> pa.RecordBatch:
-            owner, anchor, first, n, joined, begins, ends = done
-            source = np.array(sources, np.int64).reshape(-1, 3)[owner]
-            cols = [anchor, *_hashes(joined, begins.tolist(), ends.tolist()), *source.T, first, n]
-            if not found.parts:
-                sources.clear()
+            source, anchor, first, n, joined, begins, ends = done
+            cols = [anchor, *_hashes(joined, begins.tolist(), ends.tolist()), *source.reshape(-1, 3).T, first, n]
             return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, out)], schema=out)
 
         for b in C.sliced(batches):
             for *source, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                sources.append(source)
-                yield from map(rows_of, found.add(len(sources) - 1, text))
+                yield from map(rows_of, found.add(text, *source))
         yield rows_of(found.flush())
 
     return keyed.select("key", "text_hi", "text_lo", "text").mapInArrow(run, schema)
