@@ -2,8 +2,8 @@
 
 Statistics of the text, one pass over its bytes, are the only inputs. Shallow trees grown on random subsamples of labelled rows give rules: each
 path from a root to a node is a conjunction of comparisons. Rules and the (winsorised) statistics are the columns of a logistic
-regression with an L1 penalty, which leaves few of them with a weight. The ensemble that remains is compiled to one Spark column
-expression over the statistics, so scoring is plain projection.
+regression with an L1 penalty, which leaves few of them with a weight; of the PENALTIES the largest is taken that cross-validation can't tell from the best.
+The ensemble that remains is compiled to one Spark column expression over the statistics, a balanced sum, so scoring is plain projection.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from tessera.llm import _common as C
 #: Bounds of the labelled sample: rows of each class.
 MOST_GOOD, MOST_BAD = 6000, 4000
 TREES, DEPTH, LEAST_LEAF = 60, 3, 8
+#: L1 penalties to choose from, strongest first, by so many folds.
+PENALTIES, FOLDS = (0.07, 0.05, 0.035, 0.025, 0.017, 0.012, 0.008, 0.005, 0.003, 0.002), 5
 #: predicted is 1 from here on.
 CUT = 0.7
 
@@ -65,7 +67,8 @@ def statistics_of(text: str | None) -> tuple[float, ...]:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the STATISTICS (doubles); one row for a row, no shuffle. A null text counts as empty."""
+    """doc_id and the STATISTICS (doubles); one row for a row, repeated rows too, no shuffle. A null text counts as empty; a very long one is looked at
+    whole. Other columns, whatever their names, are not read."""
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS)
     out = C.arrow_schema(schema)
 
@@ -89,13 +92,15 @@ class Ensemble:
 
     def expression(self, column=F.col) -> Column:
         """The score as a Spark expression over the statistics."""
-        z = F.lit(self.bias)
+        terms = [F.lit(self.bias)]
         for rule, w in self.rules:
             holds = reduce(lambda a, b: a & b, [column(STATISTICS[s]) > t if above else column(STATISTICS[s]) <= t for s, above, t in rule])
-            z = z + F.when(holds, F.lit(w)).otherwise(F.lit(0.0))
+            terms.append(F.when(holds, F.lit(w)).otherwise(F.lit(0.0)))
         for s, low, high, w in self.linear:
-            z = z + F.least(F.greatest(column(STATISTICS[s]), F.lit(low)), F.lit(high)) * F.lit(w)
-        return 1 / (1 + F.exp(-z))
+            terms.append(F.least(F.greatest(column(STATISTICS[s]), F.lit(low)), F.lit(high)) * F.lit(w))
+        while len(terms) > 1:  # a balanced tree: its depth is the logarithm of the number of rules
+            terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+        return 1 / (1 + F.exp(-terms[0]))
 
     def evaluate(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.bias)
@@ -134,11 +139,16 @@ def _paths(x: np.ndarray, y: np.ndarray, rows: np.ndarray, rng, path: Rule, out:
         _paths(x, y, rows[(x[rows, s] > t) == above], rng, longer, out)
 
 
-def _lasso(a: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
+def _lasso(a: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, start: tuple[float, np.ndarray] | None = None, rounds: int = 250) -> tuple[float, np.ndarray]:
     """Weighted logistic loss with an L1 penalty by accelerated proximal steps; columns are scaled already."""
     n = len(y)
-    w, b, v, c, t = np.zeros(a.shape[1]), 0.0, np.zeros(a.shape[1]), 0.0, 1.0
-    step = 4 / max(1e-9, np.linalg.norm(np.c_[np.ones(n), a] * np.sqrt(weight / n)[:, None], 2) ** 2)
+    b, w = start or (0.0, np.zeros(a.shape[1]))
+    v, c, t = w, b, 1.0
+    root, u = np.sqrt(weight / n), np.ones(a.shape[1])
+    for _ in range(12):  # the largest singular value by power iteration; the constant column adds at most the sum of the weights
+        u = a.T @ (root**2 * (a @ u))
+        u /= max(1e-30, np.linalg.norm(u))
+    step = 4 / max(1e-9, 1.2 * np.linalg.norm(root * (a @ u)) ** 2 + weight.mean())
     for _ in range(rounds):
         g = weight * (1 / (1 + np.exp(-np.clip(a @ v + c, -30, 30))) - y) / n
         w2 = v - step * (a.T @ g)
@@ -149,8 +159,38 @@ def _lasso(a: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rou
     return b, w
 
 
-def train(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, seed: int = 7) -> Ensemble:
-    """From statistics and 0/1 labels. Classes weigh alike; the bias is then moved so that CUT is the best cut between them."""
+def _wrong_pairs(score: np.ndarray, y: np.ndarray) -> float:
+    """Of the pairs of a good and a bad row, the share in which the bad one scores higher; equal scores count half."""
+    good, bad = np.sort(score[y == 1]), score[y == 0]
+    if not len(good) or not len(bad):
+        return float("nan")
+    return float((np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).mean() / (2 * len(good)))
+
+
+def _chosen_penalty(a: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int) -> float:
+    """The strongest penalty whose cross-validated share of wrongly ordered pairs is within one standard error of the least. (Where rules part the classes
+    well, a loss would go on falling with the penalty, as weights grow.)"""
+    fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
+    losses = np.full((len(PENALTIES), FOLDS), np.nan)
+    for f in range(FOLDS):
+        inside, outside = fold != f, fold == f
+        if not outside.any() or y[inside].min() == y[inside].max():
+            continue
+        fit = None
+        for i, penalty in enumerate(PENALTIES):  # each starts from the one before
+            fit = _lasso(a[inside], y[inside], weight[inside], penalty, fit, 60)
+            losses[i, f] = _wrong_pairs(a[outside] @ fit[1], y[outside])
+    kept = losses[:, ~np.isnan(losses).any(axis=0)]
+    if kept.shape[1] < 2:
+        return PENALTIES[-1]
+    mean = kept.mean(axis=1)
+    best = int(mean.argmin())
+    return PENALTIES[int(np.flatnonzero(mean <= mean[best] + kept[best].std(ddof=1) / kept.shape[1] ** 0.5)[0])]
+
+
+def train(x: np.ndarray, y: np.ndarray, penalty: float | None = None, seed: int = 7) -> Ensemble:
+    """From statistics and 0/1 labels; without a ``penalty``, one is chosen. Classes weigh alike; the bias is then moved so that CUT is the best cut between
+    them. Of rules that hold for the same rows the shortest is a column. No rows give score 0.5, rows of one class the score of that class."""
     if len(y) == 0 or y.min() == y.max():
         return Ensemble(bias=0.0 if not len(y) else (30.0 if y.max() else -30.0))
     rng, found = np.random.default_rng(seed), []
@@ -159,7 +199,12 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, seed: int = 7) -
     for _ in range(TREES):
         rows = rng.choice(len(y), size=min(len(y), max(50, min(1000, len(y) // 2))), replace=True, p=draw / draw.sum())
         _paths(x, y.astype(float) - 0.5, rows, rng, (), found)
-    rules = [r for r in dict.fromkeys(found) if 0.01 < holds(r, x).mean() < 0.99]
+    by_rows: dict[bytes, Rule] = {}
+    for q in sorted(dict.fromkeys(found), key=len):
+        h = holds(q, x)
+        if 0.01 < h.mean() < 0.99:
+            by_rows.setdefault(h.tobytes(), q)
+    rules = list(by_rows.values())
     low, high = np.quantile(x, [0.025, 0.975], axis=0)
     used = [s for s in range(x.shape[1]) if high[s] > low[s]]
     r = np.array([holds(q, x) for q in rules], float).T.reshape(len(y), len(rules))
@@ -167,7 +212,8 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, seed: int = 7) -
     scale = np.r_[np.maximum(r.std(0), 0.05), z.std(0) / 0.4 + 1e-12]
     a = np.c_[r, z]
     middle = a.mean(0)
-    b, w = _lasso((a - middle) / scale, y.astype(float), weight, penalty)
+    a = (a - middle) / scale
+    b, w = _lasso(a, y.astype(float), weight, penalty or _chosen_penalty(a, y.astype(float), weight, seed))
     w = w / scale
     b -= float(middle @ w)
     kept = [(q, float(v)) for q, v in zip(rules, w[: len(rules)]) if v]
@@ -186,19 +232,26 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, seed: int = 7) -
 
 
 def training_rows(stats: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bounded sample: labelled rows outside the held-out fold, the least hashes of their ids first in each class. Ids are chosen
-    from ``labels`` alone and only they, a proven bound, are broadcast."""
-    known = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (C.crc_mod("doc_id", 4) != 2)).distinct()
+    """The bounded sample: labelled ids outside the held-out fold, the least hashes of their ids first in each class, a row for each.
+
+    Ids are chosen from ``labels`` alone and only they, a proven bound, are broadcast. An id with both labels counts as not good; of several rows
+    of an id the one with the least statistics counts. Other columns are not read.
+    """
+    known = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (C.crc_mod("doc_id", 4) != 2))
+    known = known.groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("quality = 1").orderBy(*order).limit(MOST_GOOD).unionByName(known.where("quality <> 1").orderBy(*order).limit(MOST_BAD))
-    found = stats.join(F.broadcast(chosen), "doc_id").select("doc_id", *STATISTICS, "quality").toPandas()
+    chosen = known.where("quality = 1").orderBy(*order).limit(MOST_GOOD).unionByName(known.where("quality = 0").orderBy(*order).limit(MOST_BAD))
+    met = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*STATISTICS)).alias("row"))
+    found = met.select("doc_id", "row.*", "quality").toPandas()
     found["h"] = [xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"]]
-    found = found.sort_values(["h", *STATISTICS, "quality"])
-    return found[list(STATISTICS)].to_numpy(float), (found["quality"] == 1).to_numpy(int)
+    found = found.sort_values(["h", "doc_id"])
+    return found[list(STATISTICS)].to_numpy(float), found["quality"].to_numpy(int)
 
 
 def score(stats: DataFrame, model: Ensemble) -> DataFrame:
-    """doc_id, held_out, score, predicted; one row for a row of ``statistics``. Null ids count as the empty text for the fold."""
+    """doc_id, held_out, score, predicted (1 from CUT on, a score of just CUT included); one row for a row of ``statistics``, repeated rows too.
+
+    Null ids count as the empty text for the fold. An empty table gives an empty one."""
     scored = stats.select("doc_id", model.expression().alias("score"))
     return scored.select("doc_id", (C.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 

@@ -99,6 +99,77 @@ def test_quality_expression_is_the_ensemble(spark, documents):
     assert len(model.rules) < 200
 
 
+def plain_statistics(text):
+    """From the definitions, by characters and words of Python."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return [float(len(raw))] + [0.0] * 21
+    n, k = len(raw), len(words)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / n
+    letters, upper = range(97, 123), range(65, 91)
+    marks, symbols, spaces = b".,;:!?'\"-()", b"#$%&*+/<=>@[\\]^_`{|}~", b" \t\n\x0b\x0c\r"
+    known = {*letters, *upper, *range(48, 58), *marks, *symbols, *spaces}
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    most = max(words.count(w) for w in set(words))
+    pairs = list(zip(words, words[1:]))
+    return [
+        n, k, sum(map(len, words)) / k, max(map(len, words)), share([*letters, *upper]), share(upper), share(range(48, 58)), share(spaces), share(symbols), share(marks), share([c for c in range(256) if c not in known]),
+        len(set(words)) / k, len(set(pairs)) / len(pairs) if pairs else 1.0, most / k, sum(a == b for a, b in pairs) / len(pairs) if pairs else 0.0,
+        1 - len(set(lines)) / len(lines), len(lines), n / len(lines), sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines), sum(len(w) <= 3 for w in words) / k, sum(w[0] in upper for w in words) / k,
+        sum(len(zlib.compress(raw[i : i + 4096], 1)) for i in range(0, n, 4096)) / n,
+    ]
+
+
+def test_quality_statistics_against_their_definitions(texts):
+    for t in [*list(texts.values())[:60], *[t for _, t in ODD], "a a a", "x" * 1_500_000, "word " * 300_000]:
+        assert np.allclose(quality.statistics_of(t), plain_statistics(t))
+
+
+def plain_score(model, row):
+    """A model applied to one row of statistics, rule by rule."""
+    z = model.bias
+    for rule, w in model.rules:
+        z += w * all(row[s] > t if above else row[s] <= t for s, above, t in rule)
+    for s, low, high, w in model.linear:
+        z += w * min(max(row[s], low), high)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_query_against_plain_scores(spark):
+    """The whole query, with the model trained on rows outside the fold and applied in plain Python to plain statistics."""
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(*quality.training_rows(quality.statistics(docs), labels))
+    got = {r.doc_id: r for r in quality.op2_quality(spark, BIG).collect()}
+    assert 0 < len(model.rules) < 60
+    for r in docs.collect():
+        want = plain_score(model, plain_statistics(r.text))
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_a_thousand_rules_compile(spark):
+    rng = np.random.default_rng(3)
+    n = len(quality.STATISTICS)
+    rules = [(tuple((int(s), bool(a), float(t)) for s, a, t in zip(rng.integers(0, n, 3), rng.integers(0, 2, 3), rng.normal(size=3))), float(w)) for w in rng.normal(size=1000)]
+    model = quality.Ensemble(0.1, rules, [(1, -1.0, 1.0, 0.5)])
+    x = rng.normal(size=(20, n))
+    stats = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "doc_id long, " + ", ".join(f"{s} double" for s in quality.STATISTICS))
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    assert np.allclose([got[i] for i in range(20)], [plain_score(model, row) for row in x])
+
+
+def test_training_takes_one_row_of_an_id(spark, monkeypatch):
+    """Ids repeat in both tables, one of them in nine rows of ten; names of other columns clash."""
+    docs = spark.createDataFrame([(7, f"text {i}", 1) for i in range(900)] + [(i, f"other {i} words", 1) for i in range(100)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2, 0, 5) for i in range(100)] + [(7, 0, 0, 5), (7, 1, 0, 5), (None, 1, 0, 5), (3, None, 0, 5)], "doc_id long, quality int, toxic int, n_words int")
+    x, y = quality.training_rows(quality.statistics(docs), labels)
+    inside = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(y) == len(inside) and y.sum() == sum(i % 2 and i != 7 for i in inside)
+    monkeypatch.setattr(quality, "MOST_GOOD", 5)
+    monkeypatch.setattr(quality, "MOST_BAD", 4)
+    assert len(quality.training_rows(quality.statistics(docs), labels)[1]) == 9
+
+
 def test_quality_of_odd_rows(odd, nothing):
     stats = quality.statistics(odd)
     model = quality.train(np.random.default_rng(0).normal(size=(60, len(quality.STATISTICS))), np.arange(60) % 2)
