@@ -2,7 +2,7 @@
 
 Files under one folder of the shared file system:
 
-* ``chunks/kind=chunk`` (Parquet): key (blake2b-128 of the body), ids (count) and body (ids, 2 or 4 bytes each, little-endian): each
+* ``chunks`` (Parquet, by kind; there the rows of kind chunk): key (blake2b-128 of the body), ids (count) and body (ids, 2 or 4 bytes each, little-endian): each
   distinct chunk once. Chunks end where a rolling hash over the last 16 ids meets a mask, so equal passages give equal
   chunks wherever they stand.
 * ``recipes`` (Parquet, in ascending doc_id order): per document its chunk keys and counts, the Merkle root over
@@ -160,7 +160,8 @@ def write_store(docs: DataFrame, folder: str, *, end_id: int = END_ID, path: str
     """Encode every text (null: empty), append ``end_id`` and write chunks and recipes under ``folder``.
 
     Texts are encoded once and shuffled never: only chunks that a task meets first, and recipes, go through the one
-    exchange that keeps each chunk once. Repeated rows get a recipe each; rows of a null id come first.
+    exchange that keeps each chunk once. Repeated rows get a recipe each; rows of a null id come first. A very long text is cut into
+    chunks like any other. Other columns, whatever their names, are not read. An empty table makes a store that reads back empty.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, path or K.default_path(VOCABULARY), end_id, id_col, text_col, id_type)
@@ -222,7 +223,8 @@ def _refs(recipes: DataFrame) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/chunks/kind=chunk").select(F.col("key").alias("chunk"), F.col("n").alias("stored"), "body")
+    found = spark.read.schema("key binary, n int, body binary, kind string").parquet(f"{folder}/chunks")
+    return found.where("kind = 'chunk'").select(F.col("key").alias("chunk"), F.col("n").alias("stored"), "body")
 
 
 def _unpacked(body: bytes, n: int) -> bytes:
