@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(prints.select("bits").distinct()), "simhash-links")
     rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
     rooted = C.stored(rooted, "simhash-classes")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # stored, so that the join has a partitioning of its own, in which Spark can split a giant component
+    least = C.stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
     by_bits = rooted.join(least, "root").select("bits", "component_id")
     return prints.join(by_bits, "bits").select("doc_id", "bits", "component_id")
 
