@@ -25,15 +25,18 @@ from tessera.llm import _tokens as K
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-POOL = 1024
+#: Pieces that a task chooses among; short ones are so many more to a sequence, so the pool also holds some sequences' worth of tokens.
+POOL, POOL_SEQUENCES = 1024, 8
 #: A gap of fewer tokens stays padding instead of cutting a piece for it.
 LEAST_CUT = 12
 
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence offers. As a segment has a token at least, as many segments as tokens are no limit of their own."""
+
     tokens: int = 1024
-    segments: int = 64
+    segments: int = 1024
     loss_tokens: int = 1024
 
 
@@ -57,7 +60,8 @@ def fill(pool: list[Piece], limits: Limits, keep: int, cuttable: bool = True) ->
     """Sequences, as lists of pieces, until no more than ``keep`` pieces are left in ``pool`` (which is emptied that far)."""
     pieces = list(pool)
     pool.clear()
-    # the demands, one array per dimension (segments: always 1); a piece that is placed demands more than there is
+    # the demands, one array per dimension (segments: always 1); a piece that is placed demands more than there is.
+    # Of equal scores the first piece in the order of the pool is taken.
     length = np.array([p.length for p in pieces], np.float64)
     loss = np.array([p.loss_tokens for p in pieces], np.float64)
     n_free, gone = len(pieces), float("inf")
@@ -94,7 +98,7 @@ def pack_documents(docs: DataFrame, *, limits: Limits = Limits(), end_id: int =
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and ``end_id``; a null text counts as empty, so that it is one token. Repeated
-    rows are packed each; null ids pass through. Other columns are not read. ``sequence_id`` is unique over the
+    rows are packed each; null ids pass through. Other columns, whatever their names, are not read; an empty table gives an empty one. ``sequence_id`` is unique over the
     table; in a sequence the offsets have no gaps from 0. A document longer than a sequence is cut at multiples of it.
     """
     path = path or K.default_path(VOCABULARY)
@@ -138,7 +142,7 @@ def _pack(rows_of: DataFrame, examples, kind: str, limits: Limits, pool: int) ->
         open_docs: dict[int, list] = {}  # number -> [doc_id, ids, tokens not yet placed]
         waiting: list[Piece] = []
         rows: list[tuple] = []
-        number = 0
+        number = tokens_waiting = 0
 
         def place(pieces: list[Piece]) -> None:
             nonlocal sequence
@@ -162,10 +166,12 @@ def _pack(rows_of: DataFrame, examples, kind: str, limits: Limits, pool: int) ->
                     place([Piece(number, start, size)])
                 if n > whole:
                     waiting.append(Piece(number, whole, n - whole, None if loss is None else loss[whole:]))
+                    tokens_waiting += n - whole
                 number += 1
-                if len(waiting) >= pool:
-                    for s in fill(waiting, limits, pool // 2):
+                if len(waiting) >= pool and tokens_waiting >= POOL_SEQUENCES * limits.tokens:
+                    for s in fill(waiting, limits, len(waiting) // 2):
                         place(s)
+                    tokens_waiting = sum(p.length for p in waiting)
                 if len(rows) >= 2048:
                     yield C.to_batch(rows, out)
                     rows.clear()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import _tokens as K
 from tessera.llm import packing, token_counts, token_store
@@ -155,6 +156,7 @@ def test_store_round_trip_of_odd_rows(spark, odd, nothing, tmp_path):
     chunks = spark.read.parquet(f"{tmp_path}/s/chunks/kind=chunk")
     assert chunks.count() == chunks.select("key").distinct().count()
     token_store.write_store(nothing, f"{tmp_path}/n")
+    assert token_store.digest(spark, f"{tmp_path}/n").count() == 0 and token_store.read_documents(spark, f"{tmp_path}/n").count() == 0
 
 
 def test_store_notices_damage(spark, odd, tmp_path):
@@ -238,9 +240,22 @@ def test_packing_query(spark, data, texts):
     assert n * 1024 <= 1.01 * tokens + 1024
 
 
-def test_packing_odd_rows(odd, nothing):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("words", [1, 3, 8])
+def test_short_texts_fill_sequences(spark, words):
+    rows = spark.range(6000).selectExpr("id as doc_id", f"repeat(' the', {words}) as text").coalesce(2)
+    got = packing.pack_documents(rows).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n for r in got) == 6000 * (words + 1) and sum(r.n for r in got) >= 0.97 * 1024 * (len(got) - 2)
+
+
+@pytest.mark.parametrize("pieces, want", [([(25, 0)] * 40, (100, 4, 0)), ([(3, 0)] * 40, (30, 10, 0)), ([(20, 25)] * 40, (40, 2, 50))])
+def test_all_three_limits_bind(pieces, want):
+    """Tokens, segments and loss-bearing tokens: each ends the sequences of one pool."""
+    pool = [packing.Piece(i, 0, n, np.ones(bears, np.uint8)) for i, (n, bears) in enumerate(pieces)]
+    made = [(sum(p.length for p in s), len(s), sum(p.loss_tokens for p in s)) for s in packing.fill(pool, packing.Limits(100, 10, 50), 0, cuttable=False)]
+    assert set(made) == {want}
 
+
+def test_packing_odd_rows(odd, nothing):
     check_packing(packing.pack_documents(odd).withColumn("ids_crc32", F.crc32("ids")).collect(), [(i, ids_with_end(t)) for i, t in ODD])
     assert packing.pack_documents(nothing).count() == 0
 
