@@ -1,8 +1,13 @@
+import base64
 import hashlib
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import media, mixing, multiset_hash, quality, toxicity
@@ -241,19 +246,74 @@ def test_likeness_follows_the_share_in_common():
     assert M.likeness(M.signs_of(x), M.signs_of(x)) == 1 and M.likeness(M.signs_of([]), M.signs_of([])) == 1
 
 
+def plain_units(text):
+    """Lines and sentences; longer ones in groups of words, cut behind words that their ends and length choose, or after 16."""
+    out = []
+    for line in re.sub(r"([.!?])\s", "\\1\n", text).split("\n"):
+        line = line.strip()
+        words = line.split() if len(line) > 64 else [line] if line else []
+        group = []
+        for k, w in enumerate(words):
+            group.append(w)
+            if len(words) == 1 or (7 * ord(w[0]) + 3 * ord(w[-1]) + len(w)) % 4 == 0 or len(group) == 16 or k == len(words) - 1:
+                out.append(" ".join(group))
+                group = []
+    return out
+
+
+def plain_signs(text):
+    """Lane by lane, bit by bit, in whole numbers."""
+    lanes = [0] * 256
+    for unit, times in Counter(plain_units(text)).items():
+        bits = "".join(f"{x:08b}" for x in hashlib.blake2b(unit.encode(), digest_size=32).digest())
+        lanes = [a + (times if b == "1" else -times) for a, b in zip(lanes, bits)]
+    return lanes
+
+
+def plain_likeness(a, b):
+    apart, whole = sum((x - y) ** 2 for x, y in zip(a, b)), sum(x * x + y * y for x, y in zip(a, b))
+    return 1.0 if not apart else max(0.0, 1 - apart / whole)
+
+
+def plain_written(lanes):
+    wide = any(not -(2**15) <= x < 2**15 for x in lanes)
+    return base64.b64encode(struct.pack(f"<256{'i' if wide else 'h'}", *lanes)).decode()
+
+
 def plain_next(rows):
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] is not None, r[1] or ""))
+    def place(r):
+        h = xxhash.xxh64_intdigest((r[1] or "").encode(), 42) if r[1] is not None else 42
+        return (-(r[0] if r[0] is not None else -(2**63)), h - 2**64 if h >= 2**63 else h, r[1] is not None, r[1] or "")
+
+    order = sorted(rows, key=place)
     out = []
     for k, (i, t) in enumerate(order):
         text, following = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(text) // 3
         new = text[: len(text) - n] + following[:n]
-        M = multiset_hash
-        a, b, c = M.fingerprint(text), M.fingerprint(new), M.fingerprint(following)
-        out.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), M.written(a), M.written(b), M.likeness(a, b), M.likeness(a, c)))
+        a, b, c = plain_signs(text), plain_signs(new), plain_signs(following)
+        out.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), plain_written(a), plain_written(b), plain_likeness(a, b), plain_likeness(a, c)))
     return out
 
 
+def test_counts_of_repeats_do_not_wrap():
+    M = multiset_hash
+    f = [M.signs_of(["line"] * n) for n in (400, 600, 40_000, 60_000, 65_536, 0)]
+    assert abs(M.likeness(f[2], f[3]) - M.likeness(f[0], f[1])) < 1e-9 and M.likeness(f[4], f[5]) < 0.1
+    assert M.written(f[4]) != M.written(f[5]) and all((M.read(M.written(x)) == x).all() for x in f)
+    assert (M.signs_of(["a"] * 32_768) != M.signs_of(["b"] * 32_768)).any()
+
+
+def test_most_rows_under_one_id(spark, monkeypatch):
+    monkeypatch.setattr(multiset_hash, "BUCKET", 10)
+    rows = [(None, f"text number {k} stands here") for k in range(270)] + [(k, f"another {k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted((tuple(r) for r in multiset_hash.compare_with_next(df).collect()), key=key) == sorted(plain_next(rows), key=key)
+    found = multiset_hash._in_order(df, "doc_id", "text").where("extra = 0").groupBy("place").count().collect()
+    assert max(r["count"] for r in found) <= 30
+
+
 @pytest.mark.parametrize("bucket", [20_000, 23])
 def test_fingerprint_query(spark, data, texts, bucket, monkeypatch):
     monkeypatch.setattr(multiset_hash, "BUCKET", bucket)
