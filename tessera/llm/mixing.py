@@ -5,11 +5,13 @@ source's size and the excess goes to the others by weight. That fixed point is m
 ordering the sources by CAP * size / weight and summing.
 
 Selection within a source: as many complete epochs as fit the target, then a fraction of one more: each document draws a key
--ln(u) / w with w its quality weight and u from a hash of its id, and documents are taken whole in key order up to the budget, the
+-ln(u) / w with w its quality weight and u from a hash of its id and text, and documents are taken whole in key order up to the budget, the
 one that crosses it up to the word.
 
-A source is never in one task: keys are cut into slices of about SLICE documents, sizes are summed per slice before any
-shuffle of documents, slices are prefix-summed per source, and documents are only ordered within their slice.
+A source's documents are never in one task: keys are cut into slices of about SLICE documents, sizes are summed per slice before any
+shuffle of documents, and documents are only ordered within their slice. Slices are prefix-summed in two levels, within a block of BLOCK of them and
+block by block, so a task sees a source's blocks (one for SLICE * BLOCK documents) or the slices of a block. Documents that share id and text
+draw the same key and stay in one slice.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _common as C
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-SLICE = 500
+SLICE, BLOCK = 500, 1000
 SEED = "mix-1"
 
 
@@ -29,9 +31,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column) -> Column:
-    """In (0, 1), from 48 bits of the id's MD5."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """In (0, 1), from 48 bits of an MD5 of the id and the text's MD5 (null: that of the empty text)."""
+    named = F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -61,8 +64,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted); one row for a row.
 
-    A null text has size 0 and takes nothing; null is a source, the last. Rows of equal ids draw equal keys and stand
-    in the order of their sizes. Other columns are not read. The sum of ``taken`` in a source is its target rounded down.
+    A null text has size 0 and takes nothing; null is a source, the last. Rows of equal ids and texts draw equal keys; which of them takes more is
+    left open. A very long text is counted whole. Other columns, whatever their names, are not read; an empty table gives an empty one. The sum of ``taken`` in a source is its target rounded down.
     """
     return _taken(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -70,15 +73,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def _taken(docs: DataFrame, *keep: str) -> DataFrame:
     """From ``docs`` (doc_id, text, source and what ``keep`` names): doc_id, source, ``keep``, size, source_size, target, taken."""
     sized = docs.select("doc_id", "source", *keep, F.col("text").alias("_text"), size_of(F.col("text")).alias("size"))
-    keyed = sized.select("doc_id", "source", *keep, "size", (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("_text"), F.col("size"))).alias("draw"))
+    keyed = sized.select("doc_id", "source", *keep, "size", (-F.log(uniform(F.col("doc_id"), F.col("_text"))) / quality_weight(F.col("_text"), F.col("size"))).alias("draw"))
     drawn = C.stored(keyed.select("doc_id", "source", "size", "draw"), "mix-draws")
     slices = max(1, -(-drawn.count() // SLICE))
     # exp(-draw) lies in (0, 1) and falls with the draw, so slices follow the order of the draws
     slice_of = F.floor((1 - F.exp(-F.col("draw"))) * slices).cast("long")
     per_slice = drawn.groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("slice_size"))
     goals = targets(per_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")))
-    in_order = Window.partitionBy("source").orderBy("slice")
+    per_slice = per_slice.withColumn("block", F.floor(F.col("slice") / BLOCK).cast("long"))
+    per_block = per_slice.groupBy("source", "block").agg(F.sum("slice_size").alias("block_size"))
+    blocks = per_block.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), (F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")).alias("before_block"))
+    in_order = Window.partitionBy("source", "block").orderBy("slice")
     per_slice = per_slice.withColumn("before_slice", F.sum("slice_size").over(in_order) - F.col("slice_size"))
+    per_slice = per_slice.join(blocks, (F.col("block") == F.col("b_block")) & F.col("source").eqNullSafe(F.col("b_source"))).withColumn("before_slice", F.col("before_slice") + F.col("before_block"))
     joined = per_slice.join(goals, per_slice["source"].eqNullSafe(goals["source"])).select(per_slice["source"].alias("s_source"), F.col("slice").alias("s_slice"), "before_slice", "source_size", "target")
     rows = (keyed if keep else drawn).withColumn("slice", slice_of).join(joined, (F.col("slice") == F.col("s_slice")) & F.col("source").eqNullSafe(F.col("s_source")))
     within = Window.partitionBy("s_source", "s_slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -114,7 +121,7 @@ ORACLE_SQL = {
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          length(text) as chars, length(translate(text, '#$%&*|!{}<>', '')) as plain,
-         (('0x' || substr(md5('mix-1' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
+         (('0x' || substr(md5('mix-1' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
   from documents),
 keyed as (
   select doc_id, source, size,

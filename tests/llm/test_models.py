@@ -390,6 +390,22 @@ def test_mixing_of_odd_rows(odd, nothing):
     assert mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mixing_of_many_rows_without_an_id(spark, monkeypatch):
+    """Nine rows of ten have no id and one source; slices stay small, blocks add up."""
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    monkeypatch.setattr(mixing, "BLOCK", 3)
+    rows = [(None, "word " * (k % 7) + f"n{k}", "hot") for k in range(900)] + [(k, "a b c", f"s{k % 5}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing._taken(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    assert len(got) == len(rows)
+    check_mix([(r.source, r) for r in got], dict(sizes))
+    draws = docs.select((F.floor((1 - F.exp(F.log(mixing.uniform(F.col("doc_id"), F.col("text"))))) * 50)).alias("slice")).groupBy("slice").count().collect()
+    assert max(r["count"] for r in draws) < 60
+
+
 def test_heavier_documents_come_first(spark):
     rows = [(i, "plain words " * 20 if i % 2 else "#### $$$$ " * 20, "s") for i in range(400)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
