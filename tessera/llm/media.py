@@ -1,8 +1,9 @@
 """Media columns: texts stored as WAV, read by the wave module, described by spectral-peak pairs.
 
 Stored form: mono, 8-bit unsigned samples. The samples are the payload's bytes, one for one. From the samples that are
-read back, a short-time Fourier transform (Hann window) gives each frame's strongest local maxima; a peak and the first
-peak of its own frame and each of the next ones form a pair, kept as one number that holds the time, both bins and the distance.
+read back, a short-time Fourier transform (Hann window) gives each frame's strongest local maxima. A peak forms a pair with every peak of its target
+zone, the weaker ones of its own frame and all of the next REACH frames; a pair is one number that holds the time, both bins and the distance, and
+the pairs of a text are an array in ascending order.
 """
 
 from __future__ import annotations
@@ -72,16 +73,16 @@ def peak_pairs(payload: bytes) -> np.ndarray:
     tops = _peaks(np.frombuffer(payload, np.uint8))
     out = []
     for gap in range(min(REACH, len(tops) - 1) + 1):
-        t = np.arange(len(tops) - gap)
-        for k in range(0 if gap else 1, PEAKS):
-            a, b = tops[: len(tops) - gap, k], tops[gap:, 0]
-            ok = (a > 0) & (b > 0)
-            out.append((t << 24 | a << 14 | b << 4 | gap)[ok])
+        t = np.arange(len(tops) - gap)[:, None, None]
+        a, b = tops[: len(tops) - gap, :, None], tops[gap:, None, :]
+        ok = (a > 0) & (b > 0) & (np.triu(np.ones((PEAKS, PEAKS), bool), 1) if not gap else True)
+        out.append((t << 24 | a << 14 | b << 4 | gap)[ok])
     return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media (WAV). A null text counts as empty; ids pass through, null or repeated; other columns are not read."""
+    """doc_id, n_bytes, media (WAV); one row for a row, repeated rows too. A null text counts as empty; a very long one is stored whole; ids pass through,
+    null or repeated; other columns, whatever their names, are not read. An empty table gives an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -113,4 +114,4 @@ def media_table(docs: DataFrame, path: str | None = None, **cols: str) -> DataFr
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
-    return media_table(C.table(spark, sf_dir, "documents")).drop("pairs")
+    return media_table(C.table(spark, sf_dir, "documents"))
