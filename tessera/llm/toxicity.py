@@ -23,15 +23,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _common as C
 
-#: Bounds of the labelled sample: rows of each class, and the longest text (characters) among them.
+#: Bounds of the labelled sample, for training only: ids of each class, and characters of a text that training looks at.
 MOST_TOXIC, MOST_ORDINARY, LONGEST = 2500, 5000, 10_000
+#: Bounds of what the dictionaries' common part is trained on: texts of each class, and each how manieth of their windows.
+COMMON_ORDINARY, COMMON_TOXIC, COMMON_EVERY = 1000, 300, 3
 #: Words in a window, for each of the passes over a text; a pass steps by one word less.
 WINDOWS, LEVEL = (8, 11), 6
 FOLDS = 5
 AT_LEAST = (1, 2, 3, 4, 5, 6, 8)
 #: Words in a window that the common part is trained on.
 SAMPLE = 20
-COMMON_BYTES, LEAST_Z, MOST_SEGMENTS = 2500, 5.5, 200
+COMMON_BYTES = 2500
+#: A head stands out from this many standard errors on; at most so many of a class are kept, which keeps a dictionary within zstandard's short offsets.
+LEAST_Z, MOST_SEGMENTS = 5.5, 200
 #: The head of a word that may be a segment: the space before it and so many bytes in all.
 HEADS = range(5, 12)
 _TWICE = b"\0"
@@ -150,15 +154,17 @@ class _Counts:
 
 def train(rows: list[tuple[str, int]], stands_for: float = 1.0) -> Model:
     """From (text, label) rows, in which an ordinary row stands for so many. The weights are fitted to features of rows that the
-    dictionaries behind them have not seen, by FOLDS rounds of leaving a part of each class out; the dictionaries that are kept are trained on all."""
+    dictionaries behind them have not seen, by FOLDS rounds of leaving a part of each class out; the dictionaries that are kept are trained on all.
+
+    The ordinary segments are looked for in as many ordinary texts as there are toxic ones, so that LEAST_Z means the same on both sides."""
     toxic, ordinary = (_without_copies([t for t, y in rows if bool(y) is label]) for label in (True, False))
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model()
     there, back = _Counts(toxic, ordinary), _Counts(ordinary[: len(toxic)], toxic)
 
     def dictionaries(without: int | None) -> Model:
-        some = [[t for i, t in enumerate(x) if i % FOLDS != without][:most] for x, most in ((ordinary, 1000), (toxic, 300))]
-        samples = [w for x in some for t in x for w in windows(t, SAMPLE)][::3]
+        some = [[t for i, t in enumerate(x) if i % FOLDS != without][:most] for x, most in ((ordinary, COMMON_ORDINARY), (toxic, COMMON_TOXIC))]
+        samples = [w for x in some for t in x for w in windows(t, SAMPLE)][::COMMON_EVERY]
         try:
             common = zstandard.train_dictionary(COMMON_BYTES + 500, samples, k=32, d=6).as_bytes()[-COMMON_BYTES:]
         except zstandard.ZstdError:  # too little text to train on
@@ -203,27 +209,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, stands_for: float = 1.0, ridge: floa
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], float]:
-    """The bounded sample, and how many rows an ordinary one in it stands for: labelled rows outside the held-out fold, the least hashes of their ids first in each class.
+    """The bounded sample, and how many rows an ordinary one in it stands for: labelled ids outside the held-out fold, the least hashes of their ids first in each
+    class, a row for each.
 
-    Ids are chosen from ``labels`` alone; only they (a proven bound) are broadcast, so the texts are not shuffled.
+    Ids are chosen from ``labels`` alone; only they (a proven bound) are broadcast, so the other texts are not shuffled. An id with both labels counts as
+    toxic; of several rows of an id the one with the least text counts, null texts don't. Of a longer text training sees the first LONGEST characters.
     """
-    known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (C.crc_mod("doc_id", 5) != 0)).distinct()
+    known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (C.crc_mod("doc_id", 5) != 0))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("toxic <> 1").orderBy(*order).limit(MOST_ORDINARY))
-    toxic, ordinary = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") != 1).cast("long"))).first()
+    chosen = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MOST_ORDINARY))
+    toxic, ordinary = known.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     rate = max(1.0, min(MOST_TOXIC, toxic or 0)) / max(1.0, toxic or 0)
     stands_for = max(1.0, (ordinary or 0) / MOST_ORDINARY) * rate
-    texts = C.texts(docs, id_col, text_col).where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    texts = C.texts(docs, id_col, text_col).where(F.col("text").isNotNull()).withColumn("text", F.substring("text", 1, LONGEST))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
     found["h"] = [xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"]]
-    found = found.sort_values(["h", "doc_id", "text", "toxic"])
-    return list(zip(found["text"], (found["toxic"] == 1).astype(int))), stands_for
+    found = found.sort_values(["h", "doc_id"])
+    return list(zip(found["text"], found["toxic"].astype(int))), stands_for
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from 0.5 on); one row for a row, no shuffle.
+    """doc_id, held_out, score, predicted (1 from 0.5 on, a score of just 0.5 included); one row for a row, repeated rows too, no shuffle.
 
-    A null text is scored as an empty one. Null and repeated ids pass through; a null id counts as the empty text for the fold. Other columns are not read.
+    A null text is scored as an empty one, a very long one whole; an empty table gives an empty one. Null and repeated ids pass through; a null id counts as the empty text for the fold. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import media, mixing, multiset_hash, quality, toxicity
@@ -67,6 +68,43 @@ def test_toxic_dictionary_learns_what_tells_the_classes_apart():
     assert of(None) == of("") and 0 <= of("") < 0.5
 
 
+def test_toxicity_training_takes_one_row_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text {i}", 1) for i in range(900)] + [(i, "long " * 5000, 1) for i in range(100)] + [(8, None, 1)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2, 5) for i in range(100)] + [(7, 0, 5), (7, 1, 5), (None, 1, 5), (3, None, 5)], "doc_id long, toxic int, text int")
+    rows, _ = toxicity.training_rows(docs, labels)
+    inside = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    assert len(rows) == len(inside) and sum(y for _, y in rows) == sum(i % 2 for i in inside) and all(0 < len(t) <= toxicity.LONGEST for t, _ in rows)
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 4)
+    assert len(toxicity.training_rows(docs, labels)[0]) == 9
+
+
+def plain_toxicity(model, text):
+    """A model applied with compressors of its two dictionaries, window by window, feature by feature."""
+    a, b = (zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.ordinary, model.toxic))
+    words, features = (text or "").lower().encode().split(), [1.0]
+    for size in (8, 11):
+        apart, at = [], 0
+        while True:
+            w = b" " + b" ".join(words[at : at + size]) + b" "
+            apart.append(len(a.compress(w)) - len(b.compress(w)))
+            at += size - 1
+            if at >= len(words) - 1:
+                break
+        n, mean, top = len(apart), sum(apart) / len(apart), sorted(apart)[::-1][:3]
+        reach = [sum(x >= k for x in apart) for k in (1, 2, 3, 4, 5, 6, 8)]
+        features += [mean, sum(top) / len(top), top[0], n**-0.5, mean * n**-0.5, *[r / n for r in reach], *[np.log1p(r) for r in reach], np.log(n)]
+    return 1 / (1 + np.exp(-np.clip(np.dot(features, model.weights), -30, 30)))
+
+
+def test_toxicity_query_against_plain_scores(spark):
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(*toxicity.training_rows(docs, labels))
+    got = {r.doc_id: r.score for r in toxicity.op9_toxicity(spark, BIG).collect()}
+    for r in docs.collect()[:150]:
+        assert abs(got[r.doc_id] - plain_toxicity(model, r.text)) < 1e-9
+
+
 def test_toxicity_without_examples(spark, odd, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(*toxicity.training_rows(odd, labels))
@@ -210,6 +248,36 @@ def test_peak_pairs_name_a_tone():
     assert {p & 0xFFFFFF for p in strongest} <= {int(p) & 0xFFFFFF for p in shifted}
 
 
+def plain_pairs(payload):
+    """Frame by frame and peak by peak, from a transform written out as sums of cosines and sines."""
+    t, f = np.arange(576), np.arange(289)
+    wave_of = np.exp(-2j * np.pi * np.outer(t, f) / 576)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * t / 575)
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    peaks = []
+    for at in range(0, len(x) - 575, 288):
+        m = np.abs((x[at : at + 576] * hann) @ wave_of).astype(np.float32).round(1)
+        tops = [b for b in range(1, 288) if m[b] > m[b - 1] and m[b] >= m[b + 1]]
+        peaks.append(sorted(tops, key=lambda b: (-m[b], b))[:3])
+    out = []
+    for i, mine in enumerate(peaks):
+        out += [(i, a, b, 0) for k, a in enumerate(mine) for b in mine[k + 1 :]]
+        out += [(i, a, b, gap) for gap in (1, 2, 3) if i + gap < len(peaks) for a in mine for b in peaks[i + gap]]
+    return sorted((i << 24) + (a << 14) + (b << 4) + gap for i, a, b, gap in out)
+
+
+def test_media_features_against_a_plain_transform(spark, data, texts):
+    """The arrays in the query's result; rounding may part two peaks of nearly equal strength."""
+    same = whole = 0
+    for r in media.op3_media_columns(spark, data).where("doc_id % 9 = 0 and n_bytes < 6000").collect():
+        want = plain_pairs(media.payload_of(texts[r.doc_id]))
+        same, whole = same + len(set(r.pairs) & set(want)), whole + len(set(r.pairs) | set(want))
+        assert r.pairs == sorted(r.pairs)
+        frames = (r.payload_bytes - 576) // 288 + 1
+        assert r.feature == f"{frames}-{len(r.pairs)}-{xxhash.xxh3_128_hexdigest(np.array(r.pairs, '<i8').tobytes())}"
+    assert same > 0.995 * whole > 0
+
+
 def test_media_query(spark, data, texts):
     by_text = {}
     for r in media.op3_media_columns(spark, data).collect():
