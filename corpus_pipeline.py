@@ -49,7 +49,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained models and fingerprints are beyond SQL; tests/llm holds run() against brute force instead.
+#: Trained models and fingerprints are beyond SQL; tests/llm holds each stage against a plain version of it on all that the stage before kept, and run()
+#: against the stages chained by hand.
 ORACLE_SQL = None
 
 

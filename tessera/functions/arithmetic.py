@@ -24,16 +24,26 @@ def product(operands: Sequence[Operand], floats: bool = False) -> Column:
     return reduce(lambda a, b: a * b, [operand(x).cast(kind) for x in operands])
 
 
-def quotient(operands: Sequence[Operand], floats: bool = False, on_zero: str = "raise") -> Column:
+def quotient(operands: Sequence[Operand], floats: bool = False, on_zero: str = "raise", whole: bool = False) -> Column:
     """Left to right; the result is truncated towards zero unless ``floats``. A zero divisor raises, or gives null where
-    ``on_zero`` is "null"."""
+    ``on_zero`` is "null". ``whole``: all operands are whole numbers; they are divided as such, exactly at 64 bits."""
     if on_zero not in ("raise", "null"):
         raise ValueError("on_zero is 'raise' or 'null'")
-    divide = F.try_divide if on_zero == "null" else lambda a, b: a / b
-    out = reduce(divide, [operand(x).cast("double") for x in operands])
+    exact = whole and not floats
+    first, *rest = [operand(x).cast("long" if exact else "double") for x in operands]
+    if on_zero == "null":
+        rest = [F.nullif(x, F.lit(0)) for x in rest]
+    else:
+        rest = [F.when(x == 0, F.raise_error(F.lit("division by zero")).cast(kind)).otherwise(x) for x, kind in ((x, "long" if exact else "double") for x in rest)]
+    out = reduce(whole_quotient if exact else lambda a, b: a / b, [first, *rest])
     return out if floats else out.cast("long")
 
 
+def whole_quotient(a: Column, b: Column) -> Column:
+    """a / b of two longs, truncated towards zero; -2^63 / -1, which no long holds, raises in ANSI mode."""
+    return F.call_function("div", a, b)
+
+
 def day_number(date: Column, fmt: str = "MM/dd/yy") -> Column:
     """Days since 1970-01-01 of a date written as text; two-digit years are of 2000 to 2099."""
     return F.datediff(F.to_date(date, fmt), F.lit("1970-01-01").cast("date"))

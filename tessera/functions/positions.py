@@ -43,19 +43,25 @@ def numbered(df: DataFrame, order_by: Sequence[str | Column] = (), name: str = "
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder that the cluster shares (``spark.checkpoint.dir``); a folder of our own only where none is set."""
+    """Checkpoint to the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where driver and executors are one process."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        top = sc.getConf().get("spark.checkpoint.dir", None)
+        if top is None:
+            if not sc._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            top = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(top)
     return df.checkpoint()
 
 
 def with_next(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
     """index, value, next: the values of a column in the given order, each with the one behind it; the last has none.
 
-    Only within a part is the next value found by a window; the first values of the parts, one a part, link them.
+    Only within a part is the next value found by a window; the first values of the parts, one a part, link them. Rows that are equal in all columns
+    of the order share a part.
     """
     rows = numbered(df.select(*dict.fromkeys([column, *order_by])), order_by, "__i", with_part=True).select("__i", ref(column).alias("__value"), _PART)
     inner = F.lead(F.struct("__value")).over(Window.partitionBy(_PART).orderBy("__i"))

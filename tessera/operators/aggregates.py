@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.schema import need, ref
+from tessera.functions.arithmetic import whole_quotient
+from tessera.schema import is_whole, need, ref
 
 #: What ``aggregate`` knows. std_dev is, as workflows have it, the population variance; stddev_pop is its root.
 AGGREGATORS = {
@@ -40,10 +41,15 @@ def count_by(df: DataFrame, group: Sequence[str], out: str) -> DataFrame:
 
 
 def weighted_mean(df: DataFrame, group: Sequence[str], over: str, count: str, out: str, floats: bool = False) -> DataFrame:
-    """The mean of values that stand for ``count`` rows each: their sum over the sum of the counts, truncated unless ``floats``."""
+    """The mean of values that stand for ``count`` rows each: their sum over the sum of the counts, truncated unless ``floats`` (exactly, at 64 bits, where
+    both are whole numbers)."""
     need(df, *group, over, count)
-    mean = F.sum(ref(over)) / F.sum(ref(count))
-    return df.groupBy(*map(ref, group)).agg((mean if floats else mean.cast("long")).alias(out))
+    top, bottom = F.sum(ref(over)), F.sum(ref(count))
+    if floats:
+        mean = top / bottom
+    else:
+        mean = whole_quotient(top, bottom) if is_whole(df, over) and is_whole(df, count) else (top / bottom).cast("long")
+    return df.groupBy(*map(ref, group)).agg(mean.alias(out))
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:

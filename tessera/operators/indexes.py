@@ -12,7 +12,8 @@ from tessera.schema import need, ref
 def join_flags(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_index: str, right_index: str, out: str = "flag") -> DataFrame:
     """For each pair of rows, numbered by their index columns: 1 where the keys are equal, else 0.
 
-    The result has n times m rows by definition; use it for small key lists only. ``matching_pairs`` has just the ones.
+    The result has n times m rows by definition, so it is for key lists that are short by definition only; a step that just reads the ones
+    takes ``matching_flags``.
     """
     need(left, left_key, left_index)
     need(right, right_key, right_index)
@@ -26,6 +27,11 @@ def matching_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return l.join(r, F.col("__l") == F.col("__r")).select("l_idx", "r_idx")
 
 
+def matching_flags(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_index: str, right_index: str, out: str = "flag") -> DataFrame:
+    """The rows of ``join_flags`` whose flag is 1, by a join on the keys instead of over all pairs."""
+    return matching_pairs(left, right, left_key, right_key, left_index, right_index).withColumn(out, F.lit(1))
+
+
 def index_join(left: DataFrame, right: DataFrame, pairs: DataFrame, left_index: str, right_index: str, right_key: str | None = None) -> DataFrame:
     """The rows of both sides that a list of (l_idx, r_idx) names, side by side, without the index columns and the right key."""
     need(left, left_index)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arithmetic import Operand, product, quotient
-from tessera.schema import need, ref
+from tessera.schema import is_whole, need, ref
 
 #: The two that workflows have, and others that cost nothing.
 COMPARISONS = {
@@ -61,8 +61,11 @@ def multiply(df: DataFrame, target: str, operands: Sequence[Operand], floats: bo
 
 
 def divide(df: DataFrame, target: str, operands: Sequence[Operand], floats: bool = False, on_zero: str = "raise") -> DataFrame:
-    """target = the first operand divided by all others, truncated to a whole number. Where it goes: as with ``multiply``."""
-    return _arithmetic(df, target, operands, quotient(operands, floats, on_zero))
+    """target = the first operand divided by all others, truncated to a whole number (exactly, at 64 bits, where all operands are whole numbers). Where it
+    goes: as with ``multiply``."""
+    need(df, *[x for x in operands if isinstance(x, str)])
+    whole = all(is_whole(df, x) if isinstance(x, str) else isinstance(x, int) for x in operands)
+    return _arithmetic(df, target, operands, quotient(operands, floats, on_zero, whole))
 
 
 def _arithmetic(df: DataFrame, target: str, operands: Sequence[Operand], value) -> DataFrame:
@@ -95,12 +98,11 @@ def join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys
 
 
 def aligned_with_join(one: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
-    """The rows of ``one`` as often as the join with ``other`` has them, sorted by the key: one party's part of a public join."""
+    """The rows of ``one`` as often as the join with ``other`` has them, sorted by the key: one party's part of a public join. A plain join
+    with the other side's key column, so Spark can split a hot key."""
     need(one, key)
     need(other, other_key)
-    counts = other.groupBy(ref(other_key).alias("__key")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
-    repeated = one.join(counts, ref(key) == F.col("__key")).select(*map(ref, one.columns), F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__copy"))
-    return repeated.select(*map(ref, one.columns)).orderBy(ref(key))
+    return one.join(other.select(ref(other_key).alias("__key")), ref(key) == F.col("__key")).select(*map(ref, one.columns)).orderBy(ref(key))
 
 
 def partitioned_join(lefts: Sequence[DataFrame], rights: Sequence[DataFrame], left_keys: Sequence[str], right_keys: Sequence[str]) -> DataFrame:

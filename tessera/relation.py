@@ -151,7 +151,7 @@ class Relation:
         return Relation(sets.union(self.df, right.df, left_col, right_col), policy.union(self.node, right.node, name, left_col, right_col))
 
     def pub_intersect(self, name: str, column: str, other: "Relation", other_col: str | None = None) -> "Relation":
-        return Relation(sets.intersect(self.df, other.df, column, other_col), policy.pub_intersect(self.node, name, column, other.node))
+        return Relation(sets.intersect(self.df, other.df, column, other_col), policy.pub_intersect(self.node, name, column, other.node, other_col))
 
     # --- boundaries
 

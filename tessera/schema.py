@@ -47,6 +47,11 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def is_whole(df: DataFrame, name: str) -> bool:
+    """Whether a column has an integer type."""
+    return df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def need(df: DataFrame, *names: str) -> None:
     for n in names:
         if n not in df.columns:

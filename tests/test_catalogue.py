@@ -39,6 +39,6 @@ def test_plans_push_down_and_prune(spark, data):
 
 
 def test_a_single_key_join_over_all_customers(spark, duck, data):
-    found = QUERIES["join_single_key_whole"](spark, data)
+    found = QUERIES["join_single_key"](spark, data)
     want = duck.execute("select count(*), count(distinct c_custkey) from customer join supplier on c_nationkey = s_nationkey").fetchone()
     assert (found.count(), found.select("c_custkey").distinct().count()) == want

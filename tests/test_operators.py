@@ -158,6 +158,25 @@ def test_numbers_and_neighbours(spark, values):
     assert flags == sorted(int(a == b) for a, b in zip(ordered, ordered[1:]))
 
 
+def test_whole_numbers_divide_exactly(spark):
+    d = df(spark, [(9007199254740993, 1), (-9007199254740993, 2), (2**63 - 1, 3), (7, 0)], "ab")
+    assert rows(R.divide(d, "c", ["a", "b"], on_zero="null").select("c")) == [(-4503599627370496,), (9007199254740993,), (3074457345618258602,), (None,)]
+    m = df(spark, [(1, 9007199254740993, 1), (1, 9007199254740993, 1), (2, -7, 2)], "gan")
+    assert rows(A.weighted_mean(m, ["g"], "a", "n", "m")) == [(1, 9007199254740993), (2, -3)]
+
+
+def test_neighbours_and_public_join_with_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(O, "RUN", 100)
+    values = [5] * 4500 + [None] * 30 + list(range(470)) + [1]
+    d = spark.createDataFrame([(v,) for v in values], "a long").repartition(5)
+    got = [r.a for r in O.compare_neighbours(d, "a").collect()]
+    assert len(got) == len(values) - 1 and sum(got) == len(values) - len(set(values))
+    assert O.compare_neighbours(d.limit(0), "a").count() == 0 and [r.a for r in O.compare_neighbours(d.where("a = 7"), "a").collect()] == []
+    assert max(r["n"] for r in O.compare_neighbours(d, "a").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < 4000
+    one = df(spark, [(5, 8), (7, 9)], "kv")
+    assert R.aligned_with_join(one, "k", d.toDF("k"), "k").groupBy("v").count().orderBy("v").collect() == [(8, 4501), (9, 1)]
+
+
 def test_sets(spark):
     a, b = df(spark, [(1, 1), (2, 1), (2, 1)], "ab"), df(spark, [(2, 5), (3, 6)], "cd")
     assert rows(S.concat([a, b])) == [(1, 1), (2, 1), (2, 1), (2, 5), (3, 6)] and S.concat([a, b], ["p", "q"]).columns == ["p", "q"]

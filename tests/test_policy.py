@@ -52,7 +52,8 @@ def test_join():
 def test_union_intersect_concat():
     a, b = node("l", {1}, a={1, 2}), node("r", {2}, b={2, 3})
     assert seen(P.union(a, b, "o", "a", "b")) == {"a": {2}}
-    assert seen(P.pub_intersect(a, "o", "a", b)) == {"a": {1, 2}}
+    both = P.pub_intersect(a, "o", "a", b, "b")
+    assert seen(both) == {"a": {2}} and both.owners == {1, 2} and seen(P.pub_intersect(a, "o", "a")) == {"a": {1, 2}}
     assert seen(P.concat([a, b], "o", ["x"])) == {"x": {2}}
 
 
