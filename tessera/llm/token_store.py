@@ -52,10 +52,10 @@ def _mixed() -> np.ndarray:
     return (_mix(np.arange(65536, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where, behind an id, the hash of the last 16 ids calls for a cut."""
     if not len(ids):
-        return []
+        return np.empty(0, np.int64)
     h = _mixed()[ids] if ids.max() < 65536 else (_mix(ids.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     m, step = 0x9E3779B1, 1
     with np.errstate(over="ignore"):
@@ -64,18 +64,26 @@ def cut_points(ids: np.ndarray) -> list[int]:
             more[step:] = h[:-step] if step < len(h) else 0
             h = h + more * np.uint32(m)
             m, step = m * m % 2**32, 2 * step
-    marks = np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1
+    return np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
     ends, last = [], 0
-    for e in [*marks.tolist(), len(ids)]:
+    for e in [*marks, n]:
         while e - last > MOST:
             last += MOST
             ends.append(last)
-        if e - last >= LEAST or e == len(ids) and e > last:
+        if e - last >= LEAST or e == n and e > last:
             ends.append(e)
             last = e
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return _ends(_marks(ids).tolist(), len(ids)) if len(ids) else []
+
+
 def key_of(body: bytes) -> bytes:
     return hashlib.blake2b(body, digest_size=_KEY).digest()
 
@@ -129,15 +137,19 @@ def _rows(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = K.encoder(path, PIECES), np.array([end_id], "<u4")
+        enc, end = K.encoder(path, PIECES), np.array([end_id], "<u4").tobytes()
         seen: set[bytes] = set()
         rows, number, part = [], 0, TaskContext.get().partitionId()
         for batch in C.sliced(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([np.frombuffer(enc.ids(text or ""), "<u4"), end])
-                stored, last, refs = ids.astype(code), 0, []
-                for e in cut_points(ids):
-                    body = stored[last:e].tobytes()
+            whole = [enc.ids(text or "") + end for text in batch.column(1).to_pylist()]
+            # all texts at once: a cut is LEAST ids behind a text's start at least, where the hash is of that text's ids only
+            flat = np.frombuffer(b"".join(whole), "<u4")
+            marks, stored, start = _marks(flat), flat.astype(code), 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), [len(x) // 4 for x in whole]):
+                inside = marks[np.searchsorted(marks, start, "right") : np.searchsorted(marks, start + n, "left")] - start
+                last, refs = 0, []
+                for e in _ends(inside.tolist(), n):
+                    body = stored[start + last : start + e].tobytes()
                     refs.append((key := key_of(body)) + (e - last).to_bytes(4, "little"))
                     if key not in seen:
                         if len(seen) >= _SEEN:
@@ -145,7 +157,8 @@ def _rows(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, i
                         seen.add(key)
                         rows.append(("chunk", key, None, e - last, body))
                     last = e
-                rows.append(("recipe", part.to_bytes(8, "big") + number.to_bytes(8, "big"), doc_id, len(ids), merkle_root(refs) + b"".join(refs)))
+                start += n
+                rows.append(("recipe", part.to_bytes(8, "big") + number.to_bytes(8, "big"), doc_id, n, merkle_root(refs) + b"".join(refs)))
                 number += 1
                 if len(rows) >= 1024:
                     yield C.to_batch(rows, out)

@@ -114,6 +114,18 @@ def test_cut_points(ids, seed):
     assert all(b - a <= token_store.MOST for a, b in zip([0, *ends], ends))
 
 
+def test_texts_are_cut_together_as_they_are_alone(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300, int(n)))) for i, n in enumerate([0, 1, 40, 500, 3000, 20, 9000, 63, 64, 65, 2])]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/s")
+    bodies = {r.doc_id: r.body for r in spark.read.parquet(f"{tmp_path}/s/recipes").collect()}
+    for i, t in rows:
+        ids = np.array([*library(BYTE, t), 2], "<u4")
+        ends = token_store.cut_points(ids)
+        refs = [token_store.key_of(ids[a:b].astype("<u2").tobytes()) + (b - a).to_bytes(4, "little") for a, b in zip([0, *ends], ends)]
+        assert bytes(bodies[i]) == token_store.merkle_root(refs) + b"".join(refs)
+
+
 def test_equal_passages_share_chunks():
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 50000, n).astype("<u4") for n in (20000, 777, 1234))
