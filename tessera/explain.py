@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from tessera.policy import Node, placement
+from tessera.policy import Node, placement, primitives
 from tessera.relation import Relation
 
 
@@ -14,13 +14,16 @@ def describe_node(n: Node) -> str:
     return f"{n.op.upper()}({sources}{'; ' if sources and n.detail else ''}{n.detail}) AS {n.name}([{cols}]) {{{', '.join(map(str, sorted(n.owners)))}}}"
 
 
-def describe(outputs: Relation | Sequence[Relation], all_parties: Iterable[int] = (1, 2, 3)) -> str:
-    """A line for each step, with trust and owners, where it would run and what would cross a boundary for it."""
+def describe(outputs: Relation | Sequence[Relation], all_parties: Iterable[int] = (1, 2, 3), expand: bool = False) -> str:
+    """A line for each step, with trust and owners, where it would run and what would cross a boundary for it. ``expand``: indented below a
+    public or hybrid step, the plain steps that it stands for."""
     nodes = [r.node for r in ([outputs] if isinstance(outputs, Relation) else outputs)]
     lines = []
     for s in placement(nodes, all_parties):
         notes = "; ".join(x for x in (s.where, s.how, *s.crosses) if x)
         lines.append(f"{describe_node(s.node)}  -- {notes}")
+        if expand:
+            lines += [f"    {where}: {what}" for where, what in primitives(s)]
     return "\n".join(lines)
 
 

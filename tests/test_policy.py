@@ -77,6 +77,30 @@ def test_placement_chooses_protocols():
     assert P.placement([P.same("open", agg, "o", owners={1})], [1, 2, 3])[-1].crosses == ("open s",)
 
 
+def test_public_and_hybrid_steps_expand_into_plain_ones():
+    a, b = node("l", {1}, k={1, 2, 3}, v={1}), node("r", {2}, q={1, 2, 3}, w={2})
+    public = P.placement([P.join(a, b, "j", ["k"], ["q"])], [1, 2, 3])[-1]
+    assert [w for w, _ in P.primitives(public)] == ["party 1", "party 2", "party 1", "party 2", "joint"]
+    c = node("r2", {2}, q={2, 3}, w={2})
+    hybrid = P.placement([P.join(a, c, "j", ["k"], ["q"])], [1, 2, 3])[-1]
+    got = P.primitives(hybrid)
+    assert [w for w, _ in got] == ["joint"] * 4 + ["party 2", "joint"]
+    opened = [what for _, what in got if "open" in what]  # of each side its keys, to the helper alone
+    assert opened == ["project keys of l and open them to party 2", "project keys of r2 and open them to party 2"]
+    both = P.concat([node("x", {1}, k={1, 3}, v={1}), node("y", {2}, k={2, 3}, v={2})], "both")
+    total = P.placement([P.aggregate(both, "s", ["k"], "v", "t", "sum")], [1, 2, 3])[-1]
+    assert total.how == "hybrid, party 3 helps" and P.primitives(total)[-2:][0][0] == "party 3" and P.primitives(total)[-1] == ("joint", "index_aggregate sum(v) by k")
+    for plain in P.placement([P.aggregate(a, "s", ["k"], "v", "t", "sum")], [1, 2, 3]):
+        assert P.primitives(plain) == []
+
+
+def test_joins_asked_for_by_name_keep_their_protocol():
+    a, b = node("l", {1}, k={1, 2}), node("r", {2}, q={1, 2})
+    for use in (True, False):
+        assert P.placement([P.join(a, b, "j", ["k"], ["q"], "hybrid_join")], [1, 2, 3], use)[-1].how == "hybrid, party 1 helps"
+        assert P.placement([P.join(a, b, "j", ["k"], ["q"], "public_join")], [1, 2, 3], use)[-1].how == "public"
+
+
 def test_stages_follow_owners():
     a, b = node("x", {1}, k={1}), node("y", {2}, k={2})
     plan = P.concat([P.project(a, "pa", ["k"]), P.project(b, "pb", ["k"])], "both")
@@ -93,6 +117,7 @@ def test_relations_carry_rows_and_policy(spark, data):
     assert "AGGREGATE" in text and "joint" in text and text.count("CREATE") == 3
     assert dot(hhi).startswith("digraph") and "->" in dot(hhi)
     assert "HashAggregate" in physical(hhi)
+    assert set(text.splitlines()) <= set(describe(hhi, expand=True).splitlines())
     assert hhi.collect_at(1).owners == {1} and hhi.open("o", 2).owners == {2} and hhi.close("c", {1, 2}).owners == {1, 2}
 
 
