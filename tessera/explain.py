@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from tessera.policy import Node, placement, primitives
+from tessera.policy import Node, placement, primitives, rewritten
 from tessera.relation import Relation
 
 
@@ -14,10 +14,15 @@ def describe_node(n: Node) -> str:
     return f"{n.op.upper()}({sources}{'; ' if sources and n.detail else ''}{n.detail}) AS {n.name}([{cols}]) {{{', '.join(map(str, sorted(n.owners)))}}}"
 
 
-def describe(outputs: Relation | Sequence[Relation], all_parties: Iterable[int] = (1, 2, 3), expand: bool = False) -> str:
-    """A line for each step, with trust and owners, where it would run and what would cross a boundary for it. ``expand``: indented below a
-    public or hybrid step, the plain steps that it stands for."""
+def _nodes(outputs: Relation | Sequence[Relation], rewrite: bool) -> list[Node]:
     nodes = [r.node for r in ([outputs] if isinstance(outputs, Relation) else outputs)]
+    return rewritten(nodes) if rewrite else nodes
+
+
+def describe(outputs: Relation | Sequence[Relation], all_parties: Iterable[int] = (1, 2, 3), expand: bool = False, rewrite: bool = False) -> str:
+    """A line for each step, with trust and owners, where it would run and what would cross a boundary for it. ``expand``: indented below a
+    public or hybrid step, the plain steps that it stands for. ``rewrite``: of the plan with fewer joint steps (``policy.rewritten``)."""
+    nodes = _nodes(outputs, rewrite)
     lines = []
     for s in placement(nodes, all_parties):
         notes = "; ".join(x for x in (s.where, s.how, *s.crosses) if x)
@@ -27,9 +32,9 @@ def describe(outputs: Relation | Sequence[Relation], all_parties: Iterable[int]
     return "\n".join(lines)
 
 
-def dot(outputs: Relation | Sequence[Relation], all_parties: Iterable[int] = (1, 2, 3)) -> str:
+def dot(outputs: Relation | Sequence[Relation], all_parties: Iterable[int] = (1, 2, 3), rewrite: bool = False) -> str:
     """Joint steps are filled, hybrid and public ones in another colour."""
-    nodes = [r.node for r in ([outputs] if isinstance(outputs, Relation) else outputs)]
+    nodes = _nodes(outputs, rewrite)
     lines = ["digraph plan {", "  node [shape=box, style=filled, fillcolor=white];"]
     for s in placement(nodes, all_parties):
         colour = "white" if s.where != "joint" else "lightsalmon" if not s.how else "lightblue"

@@ -84,10 +84,10 @@ class Result:
     paths: dict[str, str]
     seconds: float
 
-    def report(self, all_parties: Iterable[int], expand: bool = False) -> str:
+    def report(self, all_parties: Iterable[int], expand: bool = False, rewrite: bool = False) -> str:
         from tessera.explain import describe
 
-        return describe(self.outputs, all_parties, expand)
+        return describe(self.outputs, all_parties, expand, rewrite)
 
 
 def run_workflow(protocol: Callable[[Context], Relation | Sequence[Relation]], conf: Config | dict, spark: SparkSession | None = None, timings: str | None = None) -> Result:

@@ -101,6 +101,39 @@ def test_joins_asked_for_by_name_keep_their_protocol():
         assert P.placement([P.join(a, b, "j", ["k"], ["q"], "public_join")], [1, 2, 3], use)[-1].how == "public"
 
 
+def test_rows_are_treated_before_they_are_put_together():
+    a, b = node("x", {1}, k={1, 2}, v={1}), node("y", {2}, q={1, 2}, w={2})
+    both = P.concat([a, b], "both", ["k", "v"])
+    kept = P.cc_filter(P.project(P.arithmetic("divide", both, "d", "v", ["v", 10]), "p", ["v", "k"]), "f", "v", "<", None, 5)
+    (new,) = P.rewritten([kept])
+    assert (new.op, new.name, new.owners) == ("concat", "f", {1, 2}) and new.columns == kept.columns
+    steps = P.placement([new], [1, 2])
+    assert [s.node.name for s in steps if s.where == "joint"] == ["f"]
+    assert [(s.where, s.node.op) for s in steps if s.node.op == "filter"] == [("party 1", "filter"), ("party 2", "filter")]
+    assert [s.node.detail for s in steps if s.node.name == "y_named"] == ["q as k, w as v"]
+    assert [set(c.trust) for c in P.concat(new.parents, "again").columns] == [set(c.trust) for c in kept.columns]
+    # a concat inside a concat, and one that another step needs whole
+    inner = P.project(P.concat([both, node("z", {3}, k={3}, v={3})], "all"), "p", ["k"])
+    assert [s.node.name for s in P.placement(P.rewritten([inner]), [1, 2, 3]) if s.where == "joint"] == ["p_0", "p"]
+    total, part = P.rewritten([P.aggregate(both, "s", ["k"], "v", "t", "sum"), P.project(both, "p", ["k"])])
+    assert total.parents[0] is both and part.op == "concat" and part.parents[0].parents == (a,)
+    one = P.project(P.concat([a, a], "own"), "p", ["k"])
+    assert P.rewritten([one]) == [one]
+
+
+def test_the_receiver_does_what_tells_it_no_more():
+    both = P.concat([node("x", {1}, k={1}, v={1}), node("y", {2}, k={2}, v={2})], "both")
+    total = P.aggregate(both, "s", ["k"], "v", "t", "sum")
+    ordered = P.same("sort_by", P.arithmetic("multiply", total, "m", "twice", ["t", 2]), "o", owners={1})
+    steps = P.placement(P.rewritten([ordered]), [1, 2])
+    assert [(s.node.name, s.where) for s in steps[-4:]] == [("s", "joint"), ("s_open", "joint"), ("m", "party 1"), ("o", "party 1")]
+    # what is multiplied in place can't be told from the product, so that stays before the open
+    hidden = P.same("sort_by", P.arithmetic("multiply", total, "m", "t", ["t", 0]), "o", owners={1})
+    assert [s.node.name for s in P.placement(P.rewritten([hidden]), [1, 2])[-3:]] == ["m", "m_open", "o"]
+    shared = P.same("sort_by", total, "o")
+    assert P.rewritten([shared]) == [shared]
+
+
 def test_stages_follow_owners():
     a, b = node("x", {1}, k={1}), node("y", {2}, k={2})
     plan = P.concat([P.project(a, "pa", ["k"]), P.project(b, "pb", ["k"])], "both")
@@ -118,6 +151,11 @@ def test_relations_carry_rows_and_policy(spark, data):
     assert dot(hhi).startswith("digraph") and "->" in dot(hhi)
     assert "HashAggregate" in physical(hhi)
     assert set(text.splitlines()) <= set(describe(hhi, expand=True).splitlines())
+    counts = W.comorbidity(parts, "k").collect_at(1)
+    before, after = describe(counts), describe(counts, rewrite=True)
+    assert (before.count("PROJECT"), after.count("PROJECT")) == (1, 3) and "close codes_0; close codes_1; close codes_2" in after
+    assert before.splitlines()[-1].endswith("-- joint; open counts") and after.splitlines()[-1].endswith("-- party 1")
+    assert dot(counts, rewrite=True).count("project") == 3
     assert hhi.collect_at(1).owners == {1} and hhi.open("o", 2).owners == {2} and hhi.close("c", {1, 2}).owners == {1, 2}
 
 

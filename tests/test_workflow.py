@@ -39,6 +39,16 @@ def test_location_counts_end_to_end(spark, places):
     assert "heatmap" in done.report([1, 2, 3])
 
 
+def test_inputs_and_outputs_by_url(spark, places):
+    """A file system that is none of the machine's own, named by URL and set up by Hadoop settings, as a cluster's or an object store's is."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./data", places.as_uri())
+    done = run_workflow(protocol, conf("viewfs://far/data"), spark)
+    assert done.paths["heatmap"] == "viewfs://far/data/out/heatmap"
+    assert rows(tables.read_csv(spark, done.paths["heatmap"], [col_spec("location"), col_spec("by_location")])) == [(2, 2), (4, 2), (6, 2), (7, 3), (8, 1)]
+    tables.store(tables.read_csv(spark, "viewfs://far/data/in1.csv", [col_spec("a"), col_spec("b")]), "viewfs://far/data/kept", "parquet")
+    assert rows(tables.read_parquet(spark, "viewfs://far/data/kept")) == [(1, 2), (1, 7), (3, 4), (5, 6)]
+
+
 def test_config_from_file(places):
     put(places / "conf.json", json.dumps(conf(places) | {"backends": {"spark": {"available": 1, "master_url": "local[2]", "conf": {"a": "b"}}}}))
     c = Config.from_file(str(places / "conf.json"))
