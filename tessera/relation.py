@@ -72,8 +72,8 @@ class Relation:
 
     # --- joins
 
-    def join(self, right: "Relation", name: str, left_keys: Sequence[str], right_keys: Sequence[str], salt: int = 1) -> "Relation":
-        return Relation(relational.join(self.df, right.df, left_keys, right_keys, salt), policy.join(self.node, right.node, name, left_keys, right_keys))
+    def join(self, right: "Relation", name: str, left_keys: Sequence[str], right_keys: Sequence[str], salt: int = 1, spread: int | None = None) -> "Relation":
+        return Relation(relational.join(self.df, right.df, left_keys, right_keys, salt, spread), policy.join(self.node, right.node, name, left_keys, right_keys))
 
     def hybrid_join(self, right: "Relation", name: str, left_key: str, right_key: str) -> "Relation":
         return Relation(indexes.hybrid_join(self.df, right.df, left_key, right_key), policy.join(self.node, right.node, name, [left_key], [right_key], "hybrid_join"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera.plans import catalogue
@@ -42,3 +43,11 @@ def test_a_single_key_join_over_all_customers(spark, duck, data):
     found = QUERIES["join_single_key"](spark, data)
     want = duck.execute("select count(*), count(distinct c_custkey) from customer join supplier on c_nationkey = s_nationkey").fetchone()
     assert (found.count(), found.select("c_custkey").distinct().count()) == want
+
+
+def test_a_single_key_join_is_dealt_over_many_tasks(spark, duck, data, monkeypatch):
+    monkeypatch.setattr(catalogue.relational, "TASK_ROWS", 2, raising=False)
+    found = QUERIES["join_single_key"](spark, data)
+    want = duck.execute("select c_nationkey, c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert len(found.groupBy(F.spark_partition_id()).count().collect()) > 8

@@ -89,6 +89,34 @@ def test_join_column_order_and_bag(spark):
         R.join(left, left, ["k"], ["k"])
 
 
+def parts_of(result):
+    return [r["count"] for r in result.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+
+
+@pytest.mark.parametrize("most", [1, 3, 40, 10**9])
+def test_a_spread_join_is_the_join(spark, most):
+    left = df(spark, [(1, i % 9) for i in range(30)] + [(2, 7), (2, 7), (3, 1), (None, 1), (4, None)] + [(5, 5)] * 6, "kv")
+    right = df(spark, [(1, i) for i in range(8)] + [(2, i) for i in range(20)] + [(4, None), (5, 1), (5, 1), (6, 1), (None, 2)], "qw")
+    assert rows(R.join(left, right, ["k"], ["q"], spread=most)) == rows(R.join(left, right, ["k"], ["q"]))
+    assert rows(R.join(right, left, ["q"], ["k"], spread=most)) == rows(R.join(right, left, ["q"], ["k"]))
+    assert rows(R.join(left, right, ["k", "v"], ["q", "w"], spread=most)) == rows(R.join(left, right, ["k", "v"], ["q", "w"]))
+    assert R.join(left.where("k > 9"), right, ["k"], ["q"], spread=most).count() == 0
+
+
+def test_a_spread_join_is_dealt_by_rows_of_its_result(spark):
+    left, right = df(spark, [(1, i) for i in range(300)], "kv"), df(spark, [(1, i) for i in range(200)], "qw")
+    assert max(parts_of(R.join(left, right, ["k"], ["q"]))) == 60_000
+    found = R.join(left, right, ["k"], ["q"], spread=1000)
+    parts = parts_of(found)
+    assert sum(parts) == 60_000 and len(parts) > 20 and max(parts) < 10_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+    with pytest.raises(ValueError):
+        R.join(left, right, ["k"], ["q"], spread=0)
+    with pytest.raises(ValueError):
+        R.join(left, right.withColumn("q", F.col("q").cast("string")), ["k"], ["q"], spread=10)
+
+
 def test_join_on_several_keys_and_nulls(spark):
     a, b = df(spark, [(1, 2, 3), (1, None, 4)], "abc"), df(spark, [(1, 2, 5), (1, None, 6)], "xyz")
     assert rows(R.join(a, b, ["a", "b"], ["x", "y"])) == [(1, 2, 3, 5)]
