@@ -15,6 +15,8 @@ from functools import lru_cache
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Unicode classes within the certain range.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -90,6 +92,63 @@ class _Pieces(dict):
         return _Pieces(self.make, self.kept, self)
 
 
+# Classes of bytes, for cutting many texts at once into units that encode alone as they do in their text. A unit is a byte-level piece or several.
+_OTHER, _LETTER, _NUMBER, _SPACE, _WHITE, _QUOTE, _MIXED, _BAD = range(8)
+
+
+def _byte_classes() -> np.ndarray:
+    """Letters of two bytes go by their first byte, U+00A0..U+00BF are mixed. Bad: what only the pattern, or the library, can place."""
+    out = np.full(256, _OTHER, np.uint8)
+    for cls, chars in ((_BAD, range(32)), (_LETTER, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (_NUMBER, b"0123456789"), (_SPACE, b" "), (_WHITE, b"\t\n\x0b\x0c\r"), (_QUOTE, b"'")):
+        out[list(chars)] = cls
+    out[127], out[0xC0:], out[0xC2], out[0xC3:0xC9] = _BAD, _BAD, _MIXED, _LETTER
+    return out
+
+
+def _boundaries() -> np.ndarray:
+    """By the classes of two neighbouring bytes (8 * first + second): 1 if a piece ends between them, 2 if it does so where the first is the only white
+    space there (before a longer run the pattern looks ahead)."""
+    out = np.zeros((8, 8), np.uint8)
+    out[[[_OTHER], [_LETTER], [_NUMBER], [_QUOTE], [_MIXED]], [_SPACE, _WHITE]] = 1
+    out[_LETTER, [_OTHER, _QUOTE, _NUMBER]] = out[_NUMBER, [_OTHER, _QUOTE, _LETTER]] = out[_OTHER, [_LETTER, _NUMBER]] = out[_QUOTE, _NUMBER] = 1
+    out[_WHITE, [_OTHER, _LETTER, _NUMBER, _QUOTE, _MIXED]] = 2
+    return out.ravel()
+
+
+_PIECE = re.compile(f" ?[{LETTERS}]++")
+_CLASS, _BOUNDARY = _byte_classes(), _boundaries()
+
+
+def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, added: list[str]) -> np.ndarray:
+    """First bytes of the units of texts that lie one behind the other in ``data``. A text with bytes that can't be placed is one unit."""
+    cls = _CLASS[data]
+    after = np.flatnonzero((data[1:] & 0xC0) == 0x80) + 1
+    first, second = data[after - 1], data[after]
+    cls[after] = cls[after - 1]
+    # U+0080..U+00A0, the signs between the letters, and U+0130
+    cls[after[((first == 0xC2) & (second <= 0xA0)) | ((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC4) & (second == 0xB0))]] = _BAD
+    bad = np.flatnonzero(cls == _BAD)
+    raw = data.tobytes()
+    cut = np.zeros(len(data), bool)
+    kind = _BOUNDARY[cls[:-1] * np.uint8(8) + cls[1:]]
+    cut[1:] = kind == 1
+    alone = np.flatnonzero(kind == 2)
+    white = (cls == _SPACE) | (cls == _WHITE)
+    text = np.zeros(len(data), bool)
+    text[starts] = True
+    cut[alone[text[alone] | ~white[alone - 1]] + 1] = True
+    cut |= text
+    whole = set((np.searchsorted(starts, bad, "right") - 1).tolist())
+    for t in added:
+        at = raw.find(t := t.encode())
+        while at >= 0:
+            whole.add(int(np.searchsorted(starts, at, "right")) - 1)
+            at = raw.find(t, at + 1)
+    for i in whole:
+        cut[starts[i] + 1 : ends[i]] = False
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit integers, equal to the library's for the whole text."""
 
@@ -115,6 +174,37 @@ class Encoder:
         self.pieces = self.pieces.current()
         return b"".join(map(self.pieces.__getitem__, BYTE_LEVEL.findall(text)))
 
+    def _unit(self, unit: str) -> bytes:
+        return self.pieces[unit] if _PIECE.fullmatch(unit) else self.ids(unit)
+
+    def all_ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts (null: empty), each with ``end`` behind it, one text behind the other, and how many each has. What recurs among them is looked up once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if at[0] == at[-1]:
+            return np.full(len(texts), end, "<u4"), np.ones(len(texts), np.int64)
+        data, at = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+        full = at[1:] > at[:-1]
+        first = _units(data, at[:-1][full], at[1:][full], self.added)
+        found = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(data))), pa.py_buffer(data)).dictionary_encode()
+        units = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.pieces = self.pieces.current()
+        ids = [x or self._unit(unit) for x, unit in zip(map(self.pieces.get, units), units)]
+        flat = np.frombuffer(b"".join([*ids, np.array([end], "<u4").tobytes()]), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # every text's units, then the unit that is the end
+        order = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(first, at[1:]), len(ids))
+        size = np.append(size, 1)
+        n = size[order]
+        behind = np.cumsum(n)
+        kind = np.int32 if max(len(flat), behind[-1]) < 2**31 else np.int64
+        place = np.repeat(((np.cumsum(size) - size)[order] - behind + n).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        last = behind[np.searchsorted(first, at[1:]) + np.arange(len(texts))]
+        return flat[place], np.diff(last, prepend=0)
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kept: int | None = None) -> Encoder:

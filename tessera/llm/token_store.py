@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ LEAST, MASK, MOST = 64, 511, 4096
 _KEY = 16
 #: Pieces that the encoder of a worker keeps in a generation: this operator has the memory for more than others.
 PIECES = 700_000
+#: Bytes of text that are encoded together.
+AT_ONCE = 1 << 22
 #: Keys of chunks that a task has sent already; bounded, and begun anew when full.
 _SEEN = 200_000
 
@@ -128,6 +131,18 @@ def shifted_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about AT_ONCE bytes of text (a longer text alone): the more at once, the more of their pieces are the same."""
+    for b in batches:
+        behind = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = behind[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(behind, before + AT_ONCE, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _rows(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, id_type: str) -> DataFrame:
     wide = K.load(path).get_vocab_size(with_added_tokens=True) > 65536
     code = "<u4" if wide else "<u2"
@@ -137,15 +152,14 @@ def _rows(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = K.encoder(path, PIECES), np.array([end_id], "<u4").tobytes()
+        enc = K.encoder(path, PIECES)
         seen: set[bytes] = set()
         rows, number, part = [], 0, TaskContext.get().partitionId()
-        for batch in C.sliced(batches):
-            whole = [enc.ids(text or "") + end for text in batch.column(1).to_pylist()]
+        for batch in _sliced(batches):
             # all texts at once: a cut is LEAST ids behind a text's start at least, where the hash is of that text's ids only
-            flat = np.frombuffer(b"".join(whole), "<u4")
+            flat, counts = enc.all_ids(batch.column(1), end_id)
             marks, stored, start = _marks(flat), flat.astype(code), 0
-            for doc_id, n in zip(batch.column(0).to_pylist(), [len(x) // 4 for x in whole]):
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
                 inside = marks[np.searchsorted(marks, start, "right") : np.searchsorted(marks, start + n, "left")] - start
                 last, refs = 0, []
                 for e in _ends(inside.tolist(), n):

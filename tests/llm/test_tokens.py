@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +33,64 @@ def test_ids_of_any_text(text):
     assert np.frombuffer(K.encoder(BYTE).ids(text), "<u4").tolist() == library(BYTE, text)
 
 
+SIGNS = st.sampled_from(list("aBz09 \n\t\r'#.|²µª«×÷\xa0éßİĀȿɏ\x7f日") + ["'s", "'ll ", " '", "  ", "\r\n", "<|endoftext|>", "word"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.none() | st.lists(ALPHABET | SIGNS, max_size=12).map("".join), max_size=8), st.sampled_from([pa.string(), pa.large_string()]))
+def test_ids_of_many_texts_at_once(texts, kind):
+    flat, n = K.encoder(BYTE).all_ids(pa.array(["before", *texts, "behind"], kind).slice(1, len(texts)), 2)
+    want = [[*library(BYTE, t or ""), 2] for t in texts]
+    assert n.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
+def test_ids_of_all_texts_at_once(texts):
+    texts = list(texts.values())
+    flat, n = K.Encoder(BYTE).all_ids(pa.array(texts), 2)
+    want = [[*library(BYTE, t), 2] for t in texts]
+    assert n.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
+def test_the_store_looks_recurring_pieces_up_once(spark, monkeypatch):
+    looked = []
+
+    class Pieces(K._Pieces):
+        def get(self, piece, default=None):
+            looked.append(piece)
+            return super().get(piece, default)
+
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    enc = K.Encoder(BYTE)
+    enc.pieces = Pieces(enc._piece)
+    monkeypatch.setattr(K, "encoder", lambda *a: enc)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    text = " ".join(f"word{'abcdefghij'[i % 10]}, 12." for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([text] * 20)], names=["doc_id", "text"])
+
+    class Docs:
+        sparkSession = spark
+        schema = None
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    rows = token_store._rows(Docs(), BYTE, 2, "doc_id", "text", "bigint")
+    assert sum(b.num_rows for b in rows) > 20 and len(looked) < 200 < 20 * 2000
+
+
+def test_batches_for_encoding_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_store, "AT_ONCE", 10)
+    texts = ["aaaa", None, "bbbb", "", "cccc", "d" * 50, "e", None]
+    got = [b.column(1).to_pylist() for b in token_store._sliced([pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])])]
+    assert sum(got, []) == texts and all(len(b) == 1 or sum(len(t or "") for t in b) <= 10 for b in got) and len(got) < 8
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ALPHABET, max_size=25).map("".join))
 def test_counts_of_any_text(text):
