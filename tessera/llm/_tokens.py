@@ -16,7 +16,6 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 # Unicode classes within the certain range.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -179,7 +178,7 @@ class Encoder:
 
     def all_ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many texts (null: empty), each with ``end`` behind it, one text behind the other, and how many each has. What recurs among them is looked up once."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not len(texts):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
